@@ -141,7 +141,9 @@ def slice_rows(
         names = {k: f"__cut_{i}" for i, k in enumerate(keys)}
         known = cuts.select(*[F.col(k).alias(n) for k, n in names.items()], _CUTS)
         rows = df.join(F.broadcast(known), _all_equal(names), "left").drop(*names.values())
-        number = F.coalesce(count_at_most(F.col(_CUTS), point, longest), F.lit(_WHOLE_KEY))
+        number = F.when(F.col(_CUTS).isNull(), F.lit(_WHOLE_KEY)).otherwise(
+            count_at_most(F.col(_CUTS), point, longest)
+        )
         rows = rows.withColumn(SLICE, number).drop(_CUTS)
     else:
         rows = df.withColumn(SLICE, count_at_most(cuts.select(_CUTS).scalar(), point, longest))
