@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.scalars import comma_fields, count_at_most
 from kinweave.operators.windows import previous_row, row_position
 from kinweave.plans.joins import BROADCAST_ROWS, fits_broadcast, lookup_join, shuffled_lookup
-from kinweave.plans.slices import ONE_TASK_ROWS, SLICE, slice_of, slice_rows
+from kinweave.plans.slices import ONE_TASK_ROWS, SLICE, slice_rows
 
 # A BETWEEN join compares every row with every interval, so the dictionary must be tiny.
 BETWEEN_ROWS = 1_000
@@ -125,41 +125,53 @@ def range_lookup_asof(
         rows_per_slice=intervals_per_block,
         one_task_rows=one_task_rows,
     )
-    interval = F.struct(
-        F.struct(F.col(start).alias("s")).alias("key"),
-        F.col(end).alias("end"),
-        F.struct(*payload).alias("payload"),
-    )
-    items = F.array_sort(F.collect_list(interval)).alias("__items")
     # The probe takes the type of the dictionary, or the two could not be compared.
-    point = F.struct(F.col(x).cast(dictionary.schema[start].dataType).alias("s"))
+    probe = F.col(x).cast(dictionary.schema[start].dataType)
 
     if sliced.split:
-        blocks = sliced.rows.groupBy(SLICE).agg(items)
+        blocks = sliced.rows.groupBy(SLICE).agg(_sorted_block(start, end, payload).alias("__block"))
         blocks = sliced.with_carry(
             blocks,
             {"__offset": F.count(F.lit(1))},
             lambda column, earlier: F.sum(column).over(earlier),
         )
-        longest = blocks.agg(F.max(F.size("__items"))).first()[0]
-        probes = values.withColumn(SLICE, slice_of(sliced, F.col(x).cast(dictionary.schema[start].dataType)))
+        longest = blocks.agg(F.max(F.size("__block.starts"))).first()[0]
+        probes = sliced.number(values, F.struct(probe))
         if fits_broadcast(dictionary.select(start, end, *payload), max_rows):
             found = probes.join(F.broadcast(blocks), SLICE, "left")
         else:
             found = shuffled_lookup(probes, blocks, [SLICE])
     else:
-        longest = max(1, sliced.total)
-        found = values.withColumn("__items", sliced.rows.agg(items).scalar()).withColumn(
+        longest = sliced.total
+        block = sliced.rows.agg(_sorted_block(start, end, payload).alias("__block"))
+        found = values.withColumn("__block", block.scalar()).withColumn(
             "__offset", F.lit(0).cast("bigint")
         )
-    index = count_at_most(F.transform("__items", lambda i: i["key"]), point, longest) - F.lit(1)
-    found = found.withColumn("__index", index)
-    candidate = F.get(F.col("__items"), F.col("__index"))
-    inside = F.col(x) <= candidate["end"]
+    index = count_at_most(F.col("__block.starts"), F.struct(probe), longest) - F.lit(1)
+    candidate = F.get(F.col("__block.rest"), F.col("__index"))
     position = F.coalesce(F.col("__offset"), F.lit(0)) + F.col("__index")
-    kept = [c for c in values.columns]
-    return found.select(
-        *kept,
-        *[F.when(inside, candidate["payload"][c]).alias(c) for c in payload],
-        F.when(inside, position).otherwise(F.lit(-1)).cast("bigint").alias("position"),
+    return (
+        found.withColumn("__index", index)
+        .withColumn("__hit", F.when(F.col(x) <= candidate["end"], candidate))
+        .select(
+            *values.columns,
+            *[F.col("__hit")["payload"][c].alias(c) for c in payload],
+            F.when(F.col("__hit").isNotNull(), position)
+            .otherwise(F.lit(-1))
+            .cast("bigint")
+            .alias("position"),
+        )
+    )
+
+
+def _sorted_block(start: str, end: str, payload: Sequence[str]) -> Column:
+    """Aggregate of a block: its starts in order, and the rest of each interval beside them."""
+    interval = F.struct(
+        F.struct(start).alias("start"),
+        F.struct(F.col(end).alias("end"), F.struct(*payload).alias("payload")).alias("rest"),
+    )
+    ordered = F.array_sort(F.collect_list(interval))
+    return F.struct(
+        F.transform(ordered, lambda i: i["start"]).alias("starts"),
+        F.transform(ordered, lambda i: i["rest"]).alias("rest"),
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,5 +39,3 @@ def union_logs(*logs: DataFrame) -> DataFrame:
     return first
 
 
-def count_pairs(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))

@@ -14,7 +14,7 @@ later scans agree on the borders.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -44,6 +44,7 @@ class SlicedRows:
     split: bool
     total: int
     cuts: DataFrame | None = None
+    longest: int = 0
 
     @property
     def partition(self) -> list[str]:
@@ -53,6 +54,12 @@ class SlicedRows:
         """Window over one slice, in order."""
         return Window.partitionBy(*self.partition).orderBy(*self.order)
 
+    def number(self, df: DataFrame, point: Column) -> DataFrame:
+        """Add the slice number that ``point`` (a struct) has in rows cut without keys."""
+        # A subquery may not stand inside a lambda, so it is a column first.
+        cuts = df.withColumn(_CUTS, self.cuts.select(_CUTS).scalar())
+        return cuts.withColumn(SLICE, count_at_most(F.col(_CUTS), point, self.longest)).drop(_CUTS)
+
     def with_carry(
         self,
         local: DataFrame,
@@ -145,12 +152,6 @@ def slice_rows(
             count_at_most(F.col(_CUTS), point, longest)
         )
         rows = rows.withColumn(SLICE, number).drop(_CUTS)
-    else:
-        rows = df.withColumn(SLICE, count_at_most(cuts.select(_CUTS).scalar(), point, longest))
-    return SlicedRows(rows, keys, order, split=True, total=total, cuts=cuts)
-
-
-def slice_of(sliced: SlicedRows, point: Column) -> Column:
-    """Slice number of a point in the order of rows that were cut without keys."""
-    longest = sliced.cuts.agg(F.max(F.size(_CUTS))).first()[0]
-    return count_at_most(sliced.cuts.select(_CUTS).scalar(), F.struct(point), longest)
+        return SlicedRows(rows, keys, order, split=True, total=total)
+    sliced = SlicedRows(df, keys, order, split=True, total=total, cuts=cuts, longest=longest)
+    return replace(sliced, rows=sliced.number(df, point))
