@@ -90,6 +90,8 @@ LEFT JOIN (SELECT p_name, p_partkey * 3 AS s, p_partkey * 3 + 1 AS t,
   ON e.cents BETWEEN b.s AND b.t
 """
 
+ORACLES["range_lookup_merged"] = ORACLES["range_lookup_asof"]
+
 ORACLES["position_lookup"] = """
 SELECT p.p_partkey, p.p_size, coalesce(d.position, -1) AS position
 FROM part p

@@ -152,16 +152,24 @@ def range_lookup(spark, sf_dir):
     return op.range_lookup(_event_cents(spark, sf_dir), bands, "cents", "start", "end", ["band"])
 
 
-@_query
-def range_lookup_asof(spark, sf_dir):
-    bands = _table(spark, sf_dir, "part").select(
+def _part_bands(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(
         (F.col("p_partkey") * 3).alias("start"),
         (F.col("p_partkey") * 3 + 1).alias("end"),
         F.col("p_name").alias("band"),
     )
-    return op.range_lookup_asof(
-        _event_cents(spark, sf_dir), bands, "cents", "start", "end", ["band"], one_task_rows=1_000
-    )
+
+
+@_query
+def range_lookup_asof(spark, sf_dir):
+    events, bands = _event_cents(spark, sf_dir), _part_bands(spark, sf_dir)
+    return op.range_lookup_asof(events, bands, "cents", "start", "end", ["band"])
+
+
+@_query
+def range_lookup_merged(spark, sf_dir):
+    events, bands = _event_cents(spark, sf_dir), _part_bands(spark, sf_dir)
+    return op.range_lookup_merged(events, bands, "cents", "start", "end", ["band"])
 
 
 @_query

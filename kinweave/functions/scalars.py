@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Java's regex class \s stands for, as text and as a class.
-JAVA_SPACES = " \t\n\x0b\f\r"
+# Fixed value: a run of the characters that Java's regex class \s stands for.
 JAVA_SPACE_RUN = r"[ \t\n\x0B\f\r]+"
 # Fixed value: a character that Java does not count as whitespace (Unicode-aware).
 NONBLANK_PATTERN = r"[^\p{javaWhitespace}]"
@@ -18,24 +17,28 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _java_split(text: Column, trailing: str, pattern: str) -> Column:
-    """Java's ``split``: a leading empty item stays, trailing empty items go."""
-    body = F.rtrim(text, F.lit(trailing))
-    return (
-        F.when(text == "", F.array(F.lit("")))
-        .when(body == "", F.array().cast("array<string>"))
-        .otherwise(F.split(body, pattern))
-    )
+def _java_split(text: Column, pattern: str) -> Column:
+    """Java's ``split``: a leading empty item stays, trailing empty items go.
+
+    ``pattern`` must match a whole run of trailing separators at once, so at most one
+    empty item ends the parts, or two make up the parts of a text of separators alone.
+    """
+    parts = F.split(text, pattern)
+    n = F.size(parts)
+    alone = (n == 2) & (F.get(parts, F.lit(0)) == "")
+    ends_empty = (text != "") & (F.element_at(parts, -1) == "")
+    kept = F.when(alone, F.lit(0)).otherwise(n - F.lit(1))
+    return F.when(ends_empty, F.slice(parts, F.lit(1), kept)).otherwise(parts)
 
 
 def tokens(text: Column | str) -> Column:
     """Whitespace tokens of a text; ``''`` has one empty token, blanks alone have none."""
-    return _java_split(_col(text), JAVA_SPACES, JAVA_SPACE_RUN)
+    return _java_split(_col(text), JAVA_SPACE_RUN)
 
 
 def comma_fields(line: Column | str) -> Column:
     """Comma-separated fields of a line without its trailing empty fields."""
-    return _java_split(_col(line), ",", ",")
+    return _java_split(_col(line), ",+$|,")
 
 
 def is_nonblank(text: Column | str) -> Column:
@@ -60,21 +63,28 @@ def java_hash(text: Column | str) -> Column:
     surrogate pair. 32 bits collide: use it where ids must equal those of a JVM
     job, and ``xxhash64`` elsewhere.
     """
+    text = _col(text)
+    word = F.lit(0xFFFFFFFF)
 
     def fold(h: Column, unit: Column) -> Column:
-        return F.pmod(h * F.lit(31) + unit + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)
+        return (h * F.lit(31) + unit).bitwiseAND(word)
 
-    def step(h: Column, char: Column) -> Column:
-        point = F.ascii(char).cast("bigint")
+    def wide_step(h: Column, char: Column) -> Column:
+        point = F.ascii(char)
         above = point - F.lit(0x10000)
         high = F.lit(0xD800) + F.shiftright(above, 10)
         low = F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))
         return F.when(point < 0x10000, fold(h, point)).otherwise(fold(fold(h, high), low))
 
-    text = _col(text)
-    return F.when(text == "", F.lit(0).cast("bigint")).otherwise(
-        F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), step)
+    def over_chars(step) -> Column:
+        return F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), step)
+
+    plain = F.octet_length(text) == F.char_length(text)
+    unsigned = F.when(plain, over_chars(lambda h, char: fold(h, F.ascii(char)))).otherwise(
+        over_chars(wide_step)
     )
+    sign = F.lit(2**31)
+    return unsigned.bitwiseXOR(sign) - sign
 
 
 def url_host(url: Column | str) -> Column:

@@ -12,6 +12,7 @@ from kinweave.operators.graph import (
     frequent_edges,
     id_vertices,
     pair_edges,
+    vertices_and_edges,
 )
 from kinweave.operators.identity import (
     extract_ids,
@@ -21,11 +22,11 @@ from kinweave.operators.identity import (
 )
 from kinweave.operators.lookup import (
     append_lookup_text,
-    check_disjoint,
     keyed_lookup,
     position_lookup,
     range_lookup,
     range_lookup_asof,
+    range_lookup_merged,
 )
 from kinweave.operators.relational import (
     conjunctive_filter,
@@ -50,7 +51,6 @@ __all__ = [
     "bitmap_cardinality",
     "bitmap_merge",
     "chain_edges",
-    "check_disjoint",
     "conjunctive_filter",
     "connected_components",
     "day_streaks",
@@ -66,12 +66,14 @@ __all__ = [
     "previous_row",
     "range_lookup",
     "range_lookup_asof",
+    "range_lookup_merged",
     "row_position",
     "running_total",
     "sum_by_key",
     "tag_rows_with_guid",
     "typed_projection",
     "union_logs",
+    "vertices_and_edges",
     "within_gap",
     "word_count",
 ]

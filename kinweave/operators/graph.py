@@ -19,6 +19,23 @@ def id_vertices(
     return df.select(F.explode(ids).alias("value")).select(key(F.col("value")).alias("id"), "value")
 
 
+def _pairs(keys: str, with_self: bool) -> Column:
+    """Structs (src, dst) for the pairs i < j of an array, in array order.
+
+    ``with_self`` adds (item, null) for each item.
+    """
+
+    def pairs_from(item: Column, i: Column) -> Column:
+        later = F.slice(keys, i + F.lit(2), F.size(keys))
+        pairs = F.transform(later, lambda other: F.struct(item.alias("src"), other.alias("dst")))
+        if not with_self:
+            return pairs
+        alone = F.struct(item.alias("src"), F.lit(None).cast("bigint").alias("dst"))
+        return F.concat(F.array(alone), pairs)
+
+    return F.flatten(F.transform(keys, pairs_from))
+
+
 def pair_edges(
     df: DataFrame, ids: str = "ids", key: Callable[[Column], Column] = java_hash
 ) -> DataFrame:
@@ -28,13 +45,7 @@ def pair_edges(
     quadratic in the length of one row's array, which the source schema fixes.
     """
     hashed = df.select(F.transform(ids, key).alias("__keys"))
-
-    def pairs_from(item: Column, i: Column) -> Column:
-        later = F.slice("__keys", i + F.lit(2), F.size("__keys"))
-        return F.transform(later, lambda other: F.struct(item.alias("src"), other.alias("dst")))
-
-    pairs = F.flatten(F.transform("__keys", pairs_from))
-    return hashed.select(F.explode(pairs).alias("__e")).select("__e.src", "__e.dst")
+    return hashed.select(F.inline(_pairs("__keys", with_self=False)))
 
 
 def frequent_edges(edges: DataFrame, more_than: int = 2) -> DataFrame:
@@ -46,6 +57,32 @@ def frequent_edges(edges: DataFrame, more_than: int = 2) -> DataFrame:
     )
 
 
+def vertices_and_edges(
+    df: DataFrame,
+    ids: str = "ids",
+    key: Callable[[Column], Column] = java_hash,
+    more_than: int = 2,
+) -> tuple[DataFrame, DataFrame]:
+    """Distinct vertices ``(id)`` and frequent pair edges ``(src, dst)`` in one pass.
+
+    A vertex travels as a pair without a second end, so the source is parsed and hashed
+    once and one aggregate serves both. The result is stored, far smaller than the source.
+    """
+    hashed = df.select(F.transform(ids, key).alias("__keys"))
+    counted = (
+        hashed.select(F.inline(_pairs("__keys", with_self=True)))
+        .groupBy("src", "dst")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    kept = materialize(
+        counted.where(F.col("dst").isNull() | (F.col("n") > more_than)).drop("n"), "graph"
+    )
+    return (
+        kept.where(F.col("dst").isNull()).select(F.col("src").alias("id")),
+        kept.where(F.col("dst").isNotNull()),
+    )
+
+
 def chain_edges(
     df: DataFrame, fields: str = "fields", key: Callable[[Column], Column] = java_hash
 ) -> DataFrame:
@@ -58,7 +95,7 @@ def chain_edges(
         F.slice("__keys", F.lit(2), F.size("__keys")),
         lambda dst, i: F.struct(F.get(F.col("__keys"), i).alias("src"), dst.alias("dst")),
     )
-    return hashed.select(F.explode(pairs).alias("__e")).select("__e.src", "__e.dst")
+    return hashed.select(F.inline(pairs))
 
 
 def connected_components(
@@ -125,8 +162,7 @@ def _small_star(links: DataFrame, rows: int, rows_per_task: int) -> DataFrame:
     moved = F.struct(F.col("dst").alias("src"), F.col("top").alias("dst"), F.lit(True).alias("changed"))
     emitted = F.when(differs, F.array(kept, moved)).otherwise(F.array(kept))
     return (
-        joined.select(F.explode(emitted).alias("__e"))
-        .select("__e.*")
+        joined.select(F.inline(emitted))
         .groupBy("src", "dst")
         .agg(F.max("changed").alias("changed"))
     )

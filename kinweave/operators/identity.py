@@ -15,9 +15,8 @@ from kinweave.functions.scalars import comma_fields, first_nonblank, java_hash,
 from kinweave.operators.graph import (
     chain_edges,
     connected_components,
-    frequent_edges,
     id_vertices,
-    pair_edges,
+    vertices_and_edges,
 )
 from kinweave.operators.relational import union_logs
 from kinweave.plans.joins import lookup_join
@@ -49,9 +48,7 @@ def _day_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """Vertices and supported edges of one day's logs."""
     ids = union_logs(*[log.select("ids") for log in logs])
-    vertices = id_vertices(ids, key=key).select("id").distinct()
-    edges = frequent_edges(pair_edges(ids, key=key), more_than).select("src", "dst")
-    return vertices, edges
+    return vertices_and_edges(ids, key=key, more_than=more_than)
 
 
 def _dictionary(labels: DataFrame) -> DataFrame:

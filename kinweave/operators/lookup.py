@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.scalars import comma_fields, count_at_most
-from kinweave.operators.windows import previous_row, row_position
-from kinweave.plans.joins import BROADCAST_ROWS, fits_broadcast, lookup_join, shuffled_lookup
-from kinweave.plans.slices import ONE_TASK_ROWS, SLICE, slice_rows
+from kinweave.operators.windows import row_position
+from kinweave.plans.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
+from kinweave.plans.slices import ONE_TASK_ROWS, ROWS_PER_SLICE, slice_rows
 
 # A BETWEEN join compares every row with every interval, so the dictionary must be tiny.
 BETWEEN_ROWS = 1_000
-INTERVALS_PER_BLOCK = 2_000
+# Starts of so many intervals travel to every task of a binary search.
+SEARCH_ROWS = 100_000
 
 
 def last_per_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -65,15 +66,6 @@ def position_lookup(values: DataFrame, dictionary: DataFrame, value: str) -> Dat
     return joined.withColumn("position", F.coalesce("position", F.lit(-1).cast("bigint")))
 
 
-def check_disjoint(dictionary: DataFrame, start: str, end: str) -> None:
-    """Raise when two intervals overlap or an interval ends before it starts."""
-    rows = previous_row(dictionary.select(start, end), [end], [start, end])
-    overlap = F.col(start) <= F.col(f"previous.{end}")
-    bad = rows.where(overlap | (F.col(end) < F.col(start))).first()
-    if bad is not None:
-        raise ValueError(f"intervals are not disjoint near {bad.asDict()}")
-
-
 def range_lookup(
     values: DataFrame,
     dictionary: DataFrame,
@@ -105,73 +97,118 @@ def range_lookup_asof(
     start: str,
     end: str,
     payload: Sequence[str],
-    validate: bool = True,
-    intervals_per_block: int = INTERVALS_PER_BLOCK,
-    one_task_rows: int = ONE_TASK_ROWS,
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int = SEARCH_ROWS,
 ) -> DataFrame:
     """The same lookup for a dictionary of any size, which must be disjoint.
 
     The last interval that starts at or before ``x`` is the only one that can hold it.
-    The dictionary is cut into blocks along its starts; a row finds its block and then
-    its interval by binary search. Rows are joined to blocks one to one, so nothing is
-    sorted or multiplied, and a block that many rows ask for is handled as a hot key.
+    Up to ``max_rows`` intervals, every row finds it by binary search in the sorted
+    starts, and the big side is not shuffled. A larger dictionary goes through
+    ``range_lookup_merged``. Overlapping intervals fail the job.
     """
-    if validate:
-        check_disjoint(dictionary, start, end)
-    sliced = slice_rows(
-        dictionary.select(start, end, *payload),
-        [start],
-        rows_per_slice=intervals_per_block,
-        one_task_rows=one_task_rows,
+    if not fits_broadcast(dictionary.select(start, end, *payload), max_rows):
+        return range_lookup_merged(values, dictionary, x, start, end, payload)
+    interval = F.struct(
+        F.struct(start).alias("start"),
+        F.col(end).alias("end"),
+        F.struct(*payload).alias("payload"),
+    )
+    # One array of at most max_rows intervals.
+    ordered = dictionary.agg(F.array_sort(F.collect_list(interval)).alias("items"))
+    starts = ordered.select(F.transform("items", lambda i: i["start"]).alias("starts"))
+    clash = F.exists(
+        F.zip_with(
+            F.slice("items", F.lit(2), F.greatest(F.size("items") - F.lit(1), F.lit(0))),
+            F.slice("items", F.lit(1), F.greatest(F.size("items") - F.lit(1), F.lit(0))),
+            lambda later, earlier: later["start"][start] <= earlier["end"],
+        ),
+        lambda overlaps: overlaps,
+    )
+    checked = F.when(clash, F.raise_error(F.lit("intervals are not disjoint"))).otherwise(
+        F.col("items")
+    )
+    ranked = ordered.select(F.posexplode(checked).alias("__index", "__interval")).select(
+        "__index",
+        F.col("__interval.end").alias("__end"),
+        *[F.col(f"__interval.payload.{c}").alias(f"__of_{c}") for c in payload],
     )
     # The probe takes the type of the dictionary, or the two could not be compared.
-    probe = F.col(x).cast(dictionary.schema[start].dataType)
-
-    if sliced.split:
-        blocks = sliced.rows.groupBy(SLICE).agg(_sorted_block(start, end, payload).alias("__block"))
-        blocks = sliced.with_carry(
-            blocks,
-            {"__offset": F.count(F.lit(1))},
-            lambda column, earlier: F.sum(column).over(earlier),
-        )
-        longest = blocks.agg(F.max(F.size("__block.starts"))).first()[0]
-        probes = sliced.number(values, F.struct(probe))
-        if fits_broadcast(dictionary.select(start, end, *payload), max_rows):
-            found = probes.join(F.broadcast(blocks), SLICE, "left")
-        else:
-            found = shuffled_lookup(probes, blocks, [SLICE])
-    else:
-        longest = sliced.total
-        block = sliced.rows.agg(_sorted_block(start, end, payload).alias("__block"))
-        found = values.withColumn("__block", block.scalar()).withColumn(
-            "__offset", F.lit(0).cast("bigint")
-        )
-    index = count_at_most(F.col("__block.starts"), F.struct(probe), longest) - F.lit(1)
-    candidate = F.get(F.col("__block.rest"), F.col("__index"))
-    position = F.coalesce(F.col("__offset"), F.lit(0)) + F.col("__index")
-    return (
-        found.withColumn("__index", index)
-        .withColumn("__hit", F.when(F.col(x) <= candidate["end"], candidate))
-        .select(
-            *values.columns,
-            *[F.col("__hit")["payload"][c].alias(c) for c in payload],
-            F.when(F.col("__hit").isNotNull(), position)
-            .otherwise(F.lit(-1))
-            .cast("bigint")
-            .alias("position"),
-        )
+    probe = F.struct(F.col(x).cast(dictionary.schema[start].dataType))
+    # A subquery may not stand inside a lambda, so it is a column first.
+    found = values.withColumn("__starts", starts.scalar())
+    index = count_at_most(F.col("__starts"), probe, max_rows) - F.lit(1)
+    found = found.withColumn("__index", index).join(F.broadcast(ranked), "__index", "left")
+    hit = F.col(x) <= F.col("__end")
+    return found.select(
+        *values.columns,
+        *[F.when(hit, F.col(f"__of_{c}")).alias(c) for c in payload],
+        F.when(hit, F.col("__index")).otherwise(F.lit(-1)).cast("bigint").alias("position"),
     )
 
 
-def _sorted_block(start: str, end: str, payload: Sequence[str]) -> Column:
-    """Aggregate of a block: its starts in order, and the rest of each interval beside them."""
-    interval = F.struct(
-        F.struct(start).alias("start"),
-        F.struct(F.col(end).alias("end"), F.struct(*payload).alias("payload")).alias("rest"),
+def range_lookup_merged(
+    values: DataFrame,
+    dictionary: DataFrame,
+    x: str,
+    start: str,
+    end: str,
+    payload: Sequence[str],
+    rows_per_slice: int = ROWS_PER_SLICE,
+    one_task_rows: int = ONE_TASK_ROWS,
+) -> DataFrame:
+    """The same lookup when neither side is small: values and starts in one sorted sequence.
+
+    The sequence is cut into slices of its order. Each row takes the last start of its
+    slice, or the last one of the earlier slices. Equal values are told apart by a row
+    number, so a value that fills a third of the rows is cut into several slices too.
+    """
+    kind = dictionary.schema[start].dataType
+    starts = dictionary.select(
+        F.col(start).alias("__x"),
+        F.lit(0).alias("__kind"),
+        F.lit(0).cast("bigint").alias("__tie"),
+        F.struct(F.col(start).alias("start"), F.col(end).alias("end"), *payload).alias("__interval"),
+    )
+    probes = values.select(
+        F.col(x).cast(kind).alias("__x"),
+        F.lit(1).alias("__kind"),
+        F.monotonically_increasing_id().alias("__tie"),
+        F.struct(*values.columns).alias("__row"),
+    )
+    sequence = starts.unionByName(probes, allowMissingColumns=True)
+    sliced = slice_rows(
+        sequence,
+        ["__x", "__kind", "__tie"],
+        rows_per_slice=rows_per_slice,
+        one_task_rows=one_task_rows,
     )
-    ordered = F.array_sort(F.collect_list(interval))
-    return F.struct(
-        F.transform(ordered, lambda i: i["start"]).alias("starts"),
-        F.transform(ordered, lambda i: i["rest"]).alias("rest"),
+    is_start = F.col("__kind") == 0
+    started = F.when(is_start, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    upto = sliced.window().rowsBetween(Window.unboundedPreceding, 0)
+    before = sliced.window().rowsBetween(Window.unboundedPreceding, -1)
+    rows = (
+        sliced.rows.withColumn("__earlier", F.last("__interval", ignorenulls=True).over(before))
+        .withColumn("__count", F.sum(started).over(upto))
+    )
+    if sliced.split:
+        rows = sliced.with_carry(
+            rows,
+            {
+                "__last": F.max_by("__interval", F.when(is_start, F.col("__x"))),
+                "__starts": F.sum(started),
+            },
+            lambda column, earlier: F.last(column, ignorenulls=True).over(earlier)
+            if column == "__last"
+            else F.sum(column).over(earlier),
+        )
+        rows = rows.withColumn("__earlier", F.coalesce("__earlier", "__last")).withColumn(
+            "__count", F.col("__count") + F.coalesce(F.col("__starts"), F.lit(0))
+        )
+    clash = is_start & (F.col("__x") <= F.col("__earlier.end"))
+    wanted = F.when(clash, F.raise_error(F.lit("intervals are not disjoint")).cast("boolean"))
+    hit = F.col("__x") <= F.col("__earlier.end")
+    return rows.where(wanted.otherwise(~is_start)).select(
+        "__row.*",
+        *[F.when(hit, F.col(f"__earlier.{c}")).alias(c) for c in payload],
+        F.when(hit, F.col("__count") - F.lit(1)).otherwise(F.lit(-1)).alias("position"),
     )
