@@ -44,7 +44,7 @@ def pair_edges(
     The pairs come from inside the row, so there is no self-join. Their number is
     quadratic in the length of one row's array, which the source schema fixes.
     """
-    hashed = df.select(F.transform(ids, key).alias("__keys"))
+    hashed = df.select(F.transform(ids, lambda item: key(item)).alias("__keys"))
     return hashed.select(F.inline(_pairs("__keys", with_self=False)))
 
 
@@ -68,7 +68,7 @@ def vertices_and_edges(
     A vertex travels as a pair without a second end, so the source is parsed and hashed
     once and one aggregate serves both. The result is stored, far smaller than the source.
     """
-    hashed = df.select(F.transform(ids, key).alias("__keys"))
+    hashed = df.select(F.transform(ids, lambda item: key(item)).alias("__keys"))
     counted = (
         hashed.select(F.inline(_pairs("__keys", with_self=True)))
         .groupBy("src", "dst")
@@ -90,7 +90,7 @@ def chain_edges(
 
     A blank would be one vertex shared by unrelated rows, so it never becomes one.
     """
-    hashed = df.select(F.transform(nonblank_items(fields), key).alias("__keys"))
+    hashed = df.select(F.transform(nonblank_items(fields), lambda item: key(item)).alias("__keys"))
     pairs = F.transform(
         F.slice("__keys", F.lit(2), F.size("__keys")),
         lambda dst, i: F.struct(F.get(F.col("__keys"), i).alias("src"), dst.alias("dst")),

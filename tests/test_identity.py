@@ -1,0 +1,139 @@
+import json
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from kinweave import operators as op
+from kinweave.functions import java_hash
+
+
+def _hash(text):
+    h = 0
+    for c in text:
+        h = (h * 31 + ord(c)) & 0xFFFFFFFF
+    return h - 2**32 if h >= 2**31 else h
+
+
+def _line(uid=None, **phone):
+    return json.dumps({"user": {"uid": uid, "phone": phone}})
+
+
+def _log(spark, lines):
+    return op.extract_ids(spark.createDataFrame([(x,) for x in lines], "value string"))
+
+
+PEOPLE = [
+    "13866778899,刘德华,wx_hz,2000",
+    "13877669988,华仔,wx_hz,3000",
+    ",刘德华,wx_ldh,5000",
+    "13912344321,马德华,wx_mdh,12000",
+    "13912344321,二师兄,wx_bj,3500",
+    "13912664321,猪八戒,wx_bj,5600",
+]
+
+
+@pytest.mark.parametrize("id_fields", [None, [0, 1, 2]])
+def test_rows_are_tagged_with_the_published_ids(spark, id_fields):
+    lines = spark.createDataFrame([(x,) for x in PEOPLE], "value string")
+    got = rows(op.tag_rows_with_guid(lines, id_fields=id_fields))
+    first, second = "-1485777898,", "-1095633001,"
+    want = [first + x for x in PEOPLE[:3]] + [second + x for x in PEOPLE[3:]]
+    assert [r[0] for r in got] == sorted(want, key=lambda x: repr((x,)))
+
+
+def test_a_row_without_identifier_fails_or_is_kept(spark):
+    lines = spark.createDataFrame([("a,b",), (" ,",)], "value string")
+    with pytest.raises(Exception, match="no identifier"):
+        op.tag_rows_with_guid(lines).collect()
+    kept = op.tag_rows_with_guid(lines, on_missing="keep")
+    assert rows(kept) == [("97,a,b",), ("null, ,",)]
+
+
+def test_extract_ids_order_blanks_and_bad_lines(spark):
+    lines = [
+        _line("u", mac="m", imei="i", uuid="x", deviceId="\t", androidId=""),
+        '{"other": 1}',
+        '{"user": {"uid": "only"}}',
+        "{broken",
+        _line("　", imsi="s"),
+    ]
+    got = {r.value: (r.ids, r.corrupt) for r in _log(spark, lines).collect()}
+    assert [got[x] for x in lines] == [
+        (["u", "i", "m", "x"], None), ([], None), (["only"], None), ([], "{broken"), (["s"], None),
+    ]
+
+
+@pytest.fixture(scope="module")
+def day_one(spark):
+    """Three logs: pairs seen 1, 2 and 3 times, blanks, bad lines, a self-pair."""
+    app = [_line("ann", imei="a1")] * 2 + [_line("bob", imei="b1", mac="b2")] * 3
+    web = [_line("ann", imei="a1"), _line("cat", imei="c1"), "{broken", '{"x": 1}']
+    mini = [_line("cat", imei="c1"), _line("dan", imei="dan", mac=" ")] + [_line("dan", imei="dan")] * 2
+    return [_log(spark, x) for x in (app, web, mini)]
+
+
+def _groups(df, names):
+    """Person ids by identifier text."""
+    keys = {_hash(n): n for n in names}
+    return {keys.get(r.biaoshi_hashcode, r.biaoshi_hashcode): r.guid for r in df.collect()}
+
+
+def test_id_mapping_links_only_frequent_pairs(day_one):
+    names = ["ann", "a1", "bob", "b1", "b2", "cat", "c1", "dan"]
+    got = _groups(op.id_mapping(day_one), names)
+    assert set(got) == set(names)
+    assert got["ann"] == got["a1"] == min(_hash("ann"), _hash("a1"))
+    assert got["bob"] == got["b1"] == got["b2"] == min(_hash(x) for x in ("bob", "b1", "b2"))
+    assert got["cat"] == _hash("cat") and got["c1"] == _hash("c1")
+    assert got["dan"] == _hash("dan")
+
+
+def test_id_mapping_with_a_wide_key(day_one):
+    got = op.id_mapping(day_one, key=F.xxhash64)
+    assert got.count() == 8
+    assert got.select("guid").distinct().count() == 5
+
+
+def test_id_mapping_lower_threshold(day_one):
+    got = _groups(op.id_mapping(day_one, more_than=1), ["cat", "c1"])
+    assert got["cat"] == got["c1"]
+
+
+def test_rolling_mapping_keeps_old_persons(spark):
+    def key(x):
+        return _hash(x)
+
+    # Yesterday: p = {p1, p2}, q = {q1, q2}, r = {r1}; guids are members.
+    old = [("p1", "p2"), ("p2", "p2"), ("q1", "q1"), ("q2", "q1"), ("r1", "r1")]
+    previous = spark.createDataFrame(
+        [(key(a), key(b)) for a, b in old], "biaoshi_hashcode bigint, guid bigint"
+    )
+    today = (
+        [_line("p1", imei="p9")] * 3  # new id of an old person
+        + [_line("q2", imei="r1")] * 3  # merges two old persons
+        + [_line("n1", imei="n2")] * 3  # a new person
+        + [_line("p1", imei="q1")] * 2  # too rare to merge
+    )
+    logs = [_log(spark, today)]
+    got = _groups(
+        op.id_mapping_rolling(logs, previous),
+        ["p1", "p2", "p9", "q1", "q2", "r1", "n1", "n2"],
+    )
+    assert got["p1"] == got["p2"] == got["p9"] == key("p2")
+    merged = min(key("q1"), key("r1"))
+    assert got["q1"] == got["q2"] == got["r1"] == merged
+    assert got["n1"] == got["n2"] == min(key("n1"), key("n2"))
+    assert len(got) == 8
+
+
+def test_rolling_mapping_adds_a_guid_that_is_no_identifier(spark):
+    previous = spark.createDataFrame([(1, 77), (2, 77)], "biaoshi_hashcode bigint, guid bigint")
+    got = op.id_mapping_rolling([_log(spark, [_line("z")])], previous)
+    assert sorted(map(tuple, got.collect())) == [(1, 77), (2, 77), (77, 77), (122, 122)]
+
+
+def test_vertices_carry_hash_and_text(spark):
+    df = spark.createDataFrame([(["a", "b"],), (["a"],)], "ids array<string>")
+    assert rows(op.id_vertices(df)) == [(97, "a"), (97, "a"), (98, "b")]
+    assert rows(op.id_vertices(df, key=java_hash)) == rows(op.id_vertices(df))

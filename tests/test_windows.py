@@ -1,0 +1,151 @@
+import random
+
+import pytest
+from conftest import rows
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from kinweave import operators as op
+from kinweave.plans.slices import slice_rows
+
+
+def _days(spark, pairs):
+    return spark.createDataFrame(pairs, "guid string, dt string").withColumn("dt", F.to_date("dt"))
+
+
+def test_day_streaks(spark):
+    days = [
+        ("guid01", d)
+        for d in ("2018-02-28", "2018-03-01", "2018-03-02", "2018-03-05", "2018-03-04",
+                  "2018-03-06", "2018-03-07", "2018-03-07")
+    ] + [("guid02", d) for d in ("2018-03-01", "2018-03-02", "2018-03-03", "2018-03-06")]
+    got = op.day_streaks(_days(spark, days), ["guid"], "dt")
+    assert [(g, n, str(a), str(b)) for g, n, a, b in rows(got)] == [
+        ("guid01", 3, "2018-02-28", "2018-03-02"),
+        ("guid01", 4, "2018-03-04", "2018-03-07"),
+        ("guid02", 1, "2018-03-06", "2018-03-06"),
+        ("guid02", 3, "2018-03-01", "2018-03-03"),
+    ]
+
+
+def test_day_streaks_over_leap_day_and_new_year(spark):
+    days = [("g", d) for d in ("2020-02-28", "2020-02-29", "2020-03-01", "2019-12-31", "2020-01-01")]
+    got = op.day_streaks(_days(spark, days), ["guid"], "dt")
+    assert [(n, str(a)) for _, n, a, _ in rows(got)] == [(2, "2019-12-31"), (3, "2020-02-28")]
+
+
+@pytest.fixture(scope="module")
+def flows(spark):
+    lines = """1,14:20:30,14:46:30,20
+1,14:47:20,15:20:30,30
+1,15:37:23,16:05:26,40
+1,16:06:27,17:20:49,50
+1,17:21:50,18:03:27,60
+2,14:18:24,15:01:40,20
+2,15:20:49,15:30:24,30
+2,16:01:23,16:40:32,40
+2,16:44:56,17:40:52,50
+3,14:39:58,15:35:53,20
+3,15:36:39,15:24:54,30"""
+    data = []
+    for line in lines.splitlines():
+        uid, start, end, flow = line.split(",")
+        data.append((int(uid), f"2020-02-18 {start}", f"2020-02-18 {end}", int(flow)))
+    df = spark.createDataFrame(data, "uid int, start string, end string, flow int")
+    return df.withColumns({c: F.to_timestamp(c) for c in ("start", "end")})
+
+
+EXPECTED_SESSIONS = [
+    (1, 1, "14:20:30", "15:20:30", 2, 50),
+    (1, 2, "15:37:23", "18:03:27", 3, 150),
+    (2, 1, "14:18:24", "15:01:40", 1, 20),
+    (2, 2, "15:20:49", "15:30:24", 1, 30),
+    (2, 3, "16:01:23", "17:40:52", 2, 90),
+    (3, 1, "14:39:58", "15:35:53", 2, 50),
+]
+
+
+@pytest.mark.parametrize("rows_per_slice", [1_000_000, 2])
+def test_gap_sessions(flows, rows_per_slice):
+    got = op.gap_sessions(
+        flows, ["uid"], "start", "end", ["start"], ["flow"], rows_per_slice=rows_per_slice
+    )
+    clock = [F.date_format(c, "HH:mm:ss") for c in ("session_start", "session_end")]
+    assert rows(got, "uid", "session_no", *clock, "n_rows", "flow") == EXPECTED_SESSIONS
+
+
+def test_running_total_literal(spark):
+    df = spark.createDataFrame([(i,) for i in range(1, 9)], "value int")
+    got = rows(op.running_total(df, "value", ["value"]), "running_total")
+    assert [r[0] for r in got] == [1, 10, 15, 21, 28, 3, 36, 6]
+
+
+def test_running_total_counts_rows_not_ties(spark):
+    df = spark.createDataFrame([(1,), (2,), (2,), (3,)], "value int")
+    got = rows(op.running_total(df, "value", ["value"]), "running_total")
+    assert [r[0] for r in got] == [1, 3, 5, 8]
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """Rows of which a third has one key and a third has no key at all."""
+    draw = random.Random(11)
+    data = []
+    for i in range(3000):
+        key = [1, None, draw.randrange(2, 60)][i % 3]
+        value = None if draw.random() < 0.05 else draw.randrange(-5, 100)
+        data.append((i, key, draw.randrange(0, 40_000), value))
+    df = spark.createDataFrame(data, "id int, k int, at int, v int")
+    start = F.timestamp_seconds("at").alias("start")
+    end = F.timestamp_seconds(F.col("at") + F.coalesce("v", F.lit(0))).alias("end")
+    return df.select("id", "k", "at", "v", start, end).cache()
+
+
+def test_hot_keys_are_cut_and_others_stay_whole(skewed):
+    sliced = slice_rows(skewed, ["at", "id"], ["k"], rows_per_slice=100)
+    sizes = sliced.rows.groupBy("k", "__slice").count().collect()
+    assert sum(r["count"] for r in sizes) == 3000
+    # Borders are sampled, so a slice may be larger than asked for, but not by much.
+    assert max(r["count"] for r in sizes) <= 200
+    for key in (1, None):
+        assert len([r for r in sizes if r.k == key]) >= 9
+    assert {r["__slice"] for r in sizes if r.k not in (1, None)} == {-1}
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+@pytest.mark.parametrize("rows_per_slice", [7, 100, 1500])
+def test_sliced_running_total_is_the_window_total(skewed, keys, rows_per_slice, monkeypatch):
+    monkeypatch.setattr("kinweave.plans.slices.ONE_TASK_ROWS", 0)
+    order = ["at", "id"]
+    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    want = skewed.select("id", F.sum("v").over(frame))
+    got = op.running_total(skewed, "v", order, keys, rows_per_slice=rows_per_slice)
+    assert rows(got, "id", "running_total") == rows(want)
+
+
+def test_sliced_global_total_has_no_single_partition(skewed):
+    many = skewed.sparkSession.range(20_000).withColumn("v", F.lit(1))
+    got = op.running_total(many, "v", ["id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got.where("running_total <> id + 1")) == []
+    # Only the carry (one row per slice) is ordered in one task.
+    assert plan.count("SinglePartition") <= 2
+
+
+@pytest.mark.parametrize("rows_per_slice", [7, 100])
+def test_sliced_gap_flags_and_sessions_equal_the_plain_ones(skewed, rows_per_slice):
+    args = (["k"], "start", "end", ["at", "id"])
+    for seconds in (5, 60):
+        plain = op.within_gap(skewed, *args, seconds=seconds)
+        split = op.within_gap(skewed, *args, seconds=seconds, rows_per_slice=rows_per_slice)
+        assert rows(split, "id", "within_gap") == rows(plain, "id", "within_gap")
+        plain = op.gap_sessions(skewed, *args, ["v"], seconds)
+        split = op.gap_sessions(skewed, *args, ["v"], seconds, rows_per_slice)
+        columns = ["k", "session_no", "session_start", "session_end", "n_rows", "v"]
+        assert rows(split, *columns) == rows(plain, *columns)
+
+
+def test_row_position_starts_at_zero(skewed):
+    got = op.row_position(skewed, ["at", "id"], rows_per_slice=50)
+    want = skewed.select("id", F.row_number().over(Window.orderBy("at", "id")) - 1)
+    assert rows(got, "id", "position") == rows(want)
