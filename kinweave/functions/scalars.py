@@ -57,34 +57,15 @@ def first_nonblank(items: Column | str) -> Column:
 
 
 def java_hash(text: Column | str) -> Column:
-    """The 32-bit string hash of the JVM, widened to BIGINT.
+    """The 32-bit string hash of the JVM, widened to BIGINT; null for null.
 
-    The hash runs over UTF-16 units, so a character above U+FFFF counts as its
-    surrogate pair. 32 bits collide: use it where ids must equal those of a JVM
-    job, and ``xxhash64`` elsewhere.
+    It calls the JVM's own method, several times faster than folding over the characters
+    with a lambda. 32 bits collide: use it where ids must equal those of a JVM job, and
+    ``xxhash64`` elsewhere.
     """
     text = _col(text)
-    word = F.lit(0xFFFFFFFF)
-
-    def fold(h: Column, unit: Column) -> Column:
-        return (h * F.lit(31) + unit).bitwiseAND(word)
-
-    def wide_step(h: Column, char: Column) -> Column:
-        point = F.ascii(char)
-        above = point - F.lit(0x10000)
-        high = F.lit(0xD800) + F.shiftright(above, 10)
-        low = F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))
-        return F.when(point < 0x10000, fold(h, point)).otherwise(fold(fold(h, high), low))
-
-    def over_chars(step) -> Column:
-        return F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), step)
-
-    plain = F.octet_length(text) == F.char_length(text)
-    unsigned = F.when(plain, over_chars(lambda h, char: fold(h, F.ascii(char)))).otherwise(
-        over_chars(wide_step)
-    )
-    sign = F.lit(2**31)
-    return unsigned.bitwiseXOR(sign) - sign
+    hashed = F.java_method(F.lit("java.util.Objects"), F.lit("hashCode"), text)
+    return F.when(text.isNotNull(), hashed.cast("bigint"))
 
 
 def url_host(url: Column | str) -> Column:

@@ -19,21 +19,22 @@ def id_vertices(
     return df.select(F.explode(ids).alias("value")).select(key(F.col("value")).alias("id"), "value")
 
 
-def _pairs(keys: str, with_self: bool) -> Column:
-    """Structs (src, dst) for the pairs i < j of an array, in array order.
+def _keys(df: DataFrame, items: Column | str, key: Callable[[Column], Column]) -> DataFrame:
+    """Column ``__keys``: the hashed identifiers of each row."""
+    return df.select(F.transform(items, lambda item: key(item)).alias("__keys"))
 
-    ``with_self`` adds (item, null) for each item.
-    """
 
-    def pairs_from(item: Column, i: Column) -> Column:
-        later = F.slice(keys, i + F.lit(2), F.size(keys))
-        pairs = F.transform(later, lambda other: F.struct(item.alias("src"), other.alias("dst")))
-        if not with_self:
-            return pairs
-        alone = F.struct(item.alias("src"), F.lit(None).cast("bigint").alias("dst"))
-        return F.concat(F.array(alone), pairs)
+def _pairs(hashed: DataFrame, with_self: bool) -> DataFrame:
+    """Rows (src, dst) for the pairs i < j of each array, in array order.
 
-    return F.flatten(F.transform(keys, pairs_from))
+    ``with_self`` adds (item, null) for each item. Two explodes of the row's own array
+    run inside generated code, unlike nested lambdas.
+    """
+    firsts = hashed.select(F.posexplode("__keys").alias("__i", "src"), "__keys")
+    later = F.slice("__keys", F.col("__i") + F.lit(2), F.size("__keys"))
+    if with_self:
+        later = F.concat(F.array(F.lit(None).cast("bigint")), later)
+    return firsts.select("src", F.explode(later).alias("dst"))
 
 
 def pair_edges(
@@ -44,8 +45,7 @@ def pair_edges(
     The pairs come from inside the row, so there is no self-join. Their number is
     quadratic in the length of one row's array, which the source schema fixes.
     """
-    hashed = df.select(F.transform(ids, lambda item: key(item)).alias("__keys"))
-    return hashed.select(F.inline(_pairs("__keys", with_self=False)))
+    return _pairs(_keys(df, ids, key), with_self=False)
 
 
 def frequent_edges(edges: DataFrame, more_than: int = 2) -> DataFrame:
@@ -68,9 +68,8 @@ def vertices_and_edges(
     A vertex travels as a pair without a second end, so the source is parsed and hashed
     once and one aggregate serves both. The result is stored, far smaller than the source.
     """
-    hashed = df.select(F.transform(ids, lambda item: key(item)).alias("__keys"))
     counted = (
-        hashed.select(F.inline(_pairs("__keys", with_self=True)))
+        _pairs(_keys(df, ids, key), with_self=True)
         .groupBy("src", "dst")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -90,12 +89,11 @@ def chain_edges(
 
     A blank would be one vertex shared by unrelated rows, so it never becomes one.
     """
-    hashed = df.select(F.transform(nonblank_items(fields), lambda item: key(item)).alias("__keys"))
-    pairs = F.transform(
-        F.slice("__keys", F.lit(2), F.size("__keys")),
-        lambda dst, i: F.struct(F.get(F.col("__keys"), i).alias("src"), dst.alias("dst")),
+    hashed = _keys(df, nonblank_items(fields), key)
+    sources = F.slice("__keys", F.lit(1), F.greatest(F.size("__keys") - F.lit(1), F.lit(0)))
+    return hashed.select(F.posexplode(sources).alias("__i", "src"), "__keys").select(
+        "src", F.get("__keys", F.col("__i") + F.lit(1)).alias("dst")
     )
-    return hashed.select(F.inline(pairs))
 
 
 def connected_components(

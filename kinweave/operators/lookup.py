@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from kinweave.functions.scalars import comma_fields, count_at_most
 from kinweave.operators.windows import row_position
 from kinweave.plans.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
-from kinweave.plans.slices import ONE_TASK_ROWS, ROWS_PER_SLICE, slice_rows
+from kinweave.plans.slices import ONE_TASK_ROWS, ROWS_PER_SLICE, constant_arrays, slice_rows
 
 # A BETWEEN join compares every row with every interval, so the dictionary must be tiny.
 BETWEEN_ROWS = 1_000
-# Starts of so many intervals travel to every task of a binary search.
-SEARCH_ROWS = 100_000
+# A dictionary up to this size travels to every task of a binary search.
+SEARCH_ROWS = 50_000
+SEARCH_BYTES = 8 * 1024 * 1024
+_OVERLAP = "intervals are not disjoint"
 
 
 def last_per_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -66,6 +68,13 @@ def position_lookup(values: DataFrame, dictionary: DataFrame, value: str) -> Dat
     return joined.withColumn("position", F.coalesce("position", F.lit(-1).cast("bigint")))
 
 
+def _bounded(dictionary: DataFrame, start: str, end: str, payload: Sequence[str]) -> DataFrame:
+    """The intervals that have both ends; one without them can hold nothing."""
+    return dictionary.select(start, end, *payload).where(
+        F.col(start).isNotNull() & F.col(end).isNotNull()
+    )
+
+
 def range_lookup(
     values: DataFrame,
     dictionary: DataFrame,
@@ -80,9 +89,10 @@ def range_lookup(
     No match gives position -1 and a null payload. A dictionary over ``max_rows`` goes
     through ``range_lookup_asof``.
     """
-    if dictionary.count() > max_rows:
-        return range_lookup_asof(values, dictionary, x, start, end, payload)
-    ranked = row_position(dictionary, [start]).select(
+    bounded = _bounded(dictionary, start, end, payload)
+    if bounded.count() > max_rows:
+        return range_lookup_asof(values, bounded, x, start, end, payload)
+    ranked = row_position(bounded, [start]).select(
         F.col(start).alias("__start"), F.col(end).alias("__end"), *payload, "position"
     )
     inside = F.col(x).between(F.col("__start"), F.col("__end"))
@@ -106,38 +116,32 @@ def range_lookup_asof(
     starts, and the big side is not shuffled. A larger dictionary goes through
     ``range_lookup_merged``. Overlapping intervals fail the job.
     """
-    if not fits_broadcast(dictionary.select(start, end, *payload), max_rows):
-        return range_lookup_merged(values, dictionary, x, start, end, payload)
-    interval = F.struct(
-        F.struct(start).alias("start"),
-        F.col(end).alias("end"),
-        F.struct(*payload).alias("payload"),
-    )
-    # One array of at most max_rows intervals.
-    ordered = dictionary.agg(F.array_sort(F.collect_list(interval)).alias("items"))
-    starts = ordered.select(F.transform("items", lambda i: i["start"]).alias("starts"))
-    clash = F.exists(
-        F.zip_with(
-            F.slice("items", F.lit(2), F.greatest(F.size("items") - F.lit(1), F.lit(0))),
-            F.slice("items", F.lit(1), F.greatest(F.size("items") - F.lit(1), F.lit(0))),
-            lambda later, earlier: later["start"][start] <= earlier["end"],
+    bounded = _bounded(dictionary, start, end, payload)
+    if not fits_broadcast(bounded, max_rows, SEARCH_BYTES):
+        return range_lookup_merged(values, bounded, x, start, end, payload)
+    interval = F.struct(start, F.struct(F.col(end).alias("end"), *payload).alias("rest"))
+    ordered = bounded.agg(F.array_sort(F.collect_list(interval)).alias("items"))
+    others = F.greatest(F.size("items") - F.lit(1), F.lit(0))
+    overlaps = F.exists(
+        F.arrays_zip(
+            F.slice("items", F.lit(2), others).alias("later"),
+            F.slice("items", F.lit(1), others).alias("earlier"),
         ),
-        lambda overlaps: overlaps,
-    )
-    checked = F.when(clash, F.raise_error(F.lit("intervals are not disjoint"))).otherwise(
-        F.col("items")
+        lambda pair: pair["later"][start] <= pair["earlier"]["rest"]["end"],
     )
-    ranked = ordered.select(F.posexplode(checked).alias("__index", "__interval")).select(
-        "__index",
-        F.col("__interval.end").alias("__end"),
-        *[F.col(f"__interval.payload.{c}").alias(f"__of_{c}") for c in payload],
+    starts = F.transform("items", lambda i: i[start])
+    checked = F.when(overlaps, F.raise_error(F.lit(_OVERLAP))).otherwise(starts)
+    [(points, number)] = constant_arrays(ordered.select(checked.alias("starts")), "starts")
+    ranked = ordered.select(F.posexplode("items").alias("__position", "__item")).select(
+        "__position",
+        F.col("__item.rest.end").alias("__end"),
+        *[F.col("__item.rest")[c].alias(f"__of_{c}") for c in payload],
     )
     # The probe takes the type of the dictionary, or the two could not be compared.
-    probe = F.struct(F.col(x).cast(dictionary.schema[start].dataType))
-    # A subquery may not stand inside a lambda, so it is a column first.
-    found = values.withColumn("__starts", starts.scalar())
-    index = count_at_most(F.col("__starts"), probe, max_rows) - F.lit(1)
-    found = found.withColumn("__index", index).join(F.broadcast(ranked), "__index", "left")
+    probe = F.col(x).cast(dictionary.schema[start].dataType)
+    found = values.withColumn("__index", count_at_most(points, probe, number) - F.lit(1))
+    same = F.col("__index").eqNullSafe(F.col("__position"))
+    found = found.join(F.broadcast(ranked), same, "left")
     hit = F.col(x) <= F.col("__end")
     return found.select(
         *values.columns,
@@ -159,26 +163,31 @@ def range_lookup_merged(
     """The same lookup when neither side is small: values and starts in one sorted sequence.
 
     The sequence is cut into slices of its order. Each row takes the last start of its
-    slice, or the last one of the earlier slices. Equal values are told apart by a row
-    number, so a value that fills a third of the rows is cut into several slices too.
+    slice, or the last one of the earlier slices. Equal values are told apart by the hash
+    of their row and equal rows by a row number, so a value that fills a third of the rows
+    is cut into several slices too. A task that runs again may number rows differently,
+    but then only rows that are equal in every column change places.
     """
     kind = dictionary.schema[start].dataType
-    starts = dictionary.select(
+    starts = _bounded(dictionary, start, end, payload).select(
         F.col(start).alias("__x"),
         F.lit(0).alias("__kind"),
+        F.lit(0).cast("bigint").alias("__hash"),
         F.lit(0).cast("bigint").alias("__tie"),
         F.struct(F.col(start).alias("start"), F.col(end).alias("end"), *payload).alias("__interval"),
     )
+    hashable = [f.name for f in values.schema if "map<" not in f.dataType.simpleString()]
     probes = values.select(
         F.col(x).cast(kind).alias("__x"),
         F.lit(1).alias("__kind"),
+        F.xxhash64(*hashable).alias("__hash"),
         F.monotonically_increasing_id().alias("__tie"),
         F.struct(*values.columns).alias("__row"),
     )
     sequence = starts.unionByName(probes, allowMissingColumns=True)
     sliced = slice_rows(
         sequence,
-        ["__x", "__kind", "__tie"],
+        ["__x", "__kind", "__hash", "__tie"],
         rows_per_slice=rows_per_slice,
         one_task_rows=one_task_rows,
     )
@@ -205,7 +214,7 @@ def range_lookup_merged(
             "__count", F.col("__count") + F.coalesce(F.col("__starts"), F.lit(0))
         )
     clash = is_start & (F.col("__x") <= F.col("__earlier.end"))
-    wanted = F.when(clash, F.raise_error(F.lit("intervals are not disjoint")).cast("boolean"))
+    wanted = F.when(clash, F.raise_error(F.lit(_OVERLAP)).cast("boolean"))
     hit = F.col("__x") <= F.col("__earlier.end")
     return rows.where(wanted.otherwise(~is_start)).select(
         "__row.*",

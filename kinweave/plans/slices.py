@@ -7,20 +7,19 @@ slice of a hot key.
 
 Cut points come from a random sample, as in Spark's own range partitioner. The sample
 decides only where the borders lie, so it changes the balance and never the result: every
-row belongs to exactly one slice. The cut points are stored before they are used, so all
-later scans agree on the borders.
+row belongs to exactly one slice. The cut points become a constant of the plan, so all
+scans of the rows agree on the borders.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kinweave.functions.scalars import count_at_most
-from kinweave.plans.storage import materialize
 
 ROWS_PER_SLICE = 1_000_000
 SAMPLES_PER_SLICE = 20
@@ -29,22 +28,37 @@ MAX_SLICES = 50_000
 ONE_TASK_ROWS = 10_000
 
 SLICE = "__slice"
-_CUTS = "__cuts"
 _POINT = "__point"
-_WHOLE_KEY = -1
+_MICROS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def constant_arrays(one_row: DataFrame, *names: str) -> list[tuple[Column, int]]:
+    """Arrays in the only row of a DataFrame as constants, each with its length.
+
+    The caller bounds the arrays: they pass through the driver into the plan. A constant
+    is shared by all rows of a task; as a column each row would copy it.
+    """
+    cells = [c for n in names for c in (F.to_json(n, _MICROS), F.size(n))]
+    found = one_row.select(*cells).first()
+    kinds = [one_row.schema[n].dataType for n in names]
+    return [
+        (F.from_json(F.lit(found[2 * i]), kind, _MICROS), found[2 * i + 1])
+        for i, kind in enumerate(kinds)
+    ]
 
 
 @dataclass(frozen=True)
 class SlicedRows:
-    """Rows with their slice number, which is -1 for a key that was left whole."""
+    """Rows with their slice number; a key that was left whole has just one."""
 
     rows: DataFrame
     keys: list[str]
     order: list[str]
     split: bool
-    total: int
-    cuts: DataFrame | None = None
-    longest: int = 0
+    cuts: Column | None = None
 
     @property
     def partition(self) -> list[str]:
@@ -54,11 +68,19 @@ class SlicedRows:
         """Window over one slice, in order."""
         return Window.partitionBy(*self.partition).orderBy(*self.order)
 
-    def number(self, df: DataFrame, point: Column) -> DataFrame:
-        """Add the slice number that ``point`` (a struct) has in rows cut without keys."""
-        # A subquery may not stand inside a lambda, so it is a column first.
-        cuts = df.withColumn(_CUTS, self.cuts.select(_CUTS).scalar())
-        return cuts.withColumn(SLICE, count_at_most(F.col(_CUTS), point, self.longest)).drop(_CUTS)
+    def _of_cut_key(self) -> Column:
+        """True for rows whose key has a cut point: the one before or after their slice."""
+        if not self.keys:
+            return F.lit(True)
+
+        def has_my_key(cut: Column) -> Column:
+            same = cut.isNotNull()
+            for k in self.keys:
+                same = same & cut[k].eqNullSafe(F.col(k))
+            return same
+
+        before = F.get(self.cuts, F.col(SLICE) - F.lit(1))
+        return has_my_key(before) | has_my_key(F.get(self.cuts, F.col(SLICE)))
 
     def with_carry(
         self,
@@ -71,8 +93,8 @@ class SlicedRows:
 
         ``partial`` aggregates one slice (map-side first, so a hot slice shrinks before
         the shuffle) and ``combine`` folds the partials of the earlier slices. The carry
-        has at most one row per slice, ``MAX_SLICES`` and as many first slices, which
-        bounds the broadcast. Null where nothing comes before.
+        has one row per slice of a cut key, at most twice ``MAX_SLICES``, which bounds
+        the broadcast. Null where nothing comes before.
         """
         if not self.split:
             raise ValueError("rows were not split, so there is nothing to carry")
@@ -83,7 +105,7 @@ class SlicedRows:
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         summary = (
-            source.where(F.col(SLICE) > _WHOLE_KEY)
+            source.where(self._of_cut_key())
             .groupBy(*self.keys, SLICE)
             .agg(*[agg.alias(name) for name, agg in partial.items()])
         )
@@ -117,41 +139,31 @@ def slice_rows(
     form one sequence, which is then cut into at least one slice per shuffle partition.
     ``df`` is read more than once and must give the same rows each time.
     """
-    spark = df.sparkSession
-    keys, order = list(keys), list(order)
+    keys = list(keys)
+    order = [c for c in order if c not in keys]
     total = df.count()
     if keys and total <= rows_per_slice or not keys and total <= one_task_rows:
-        return SlicedRows(df, keys, order, split=False, total=total)
+        return SlicedRows(df, keys, order, split=False)
     if not keys:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows_per_slice = min(rows_per_slice, -(-total // partitions))
     rows_per_slice = max(rows_per_slice, -(-total // MAX_SLICES))
 
     fraction = min(1.0, SAMPLES_PER_SLICE / rows_per_slice)
     step = max(1, round(rows_per_slice * fraction))
-    point = F.struct(*order)
+    # A lone column is compared as it is, which is quicker; its nulls fall into slice 0.
+    point = F.struct(*keys, *order) if keys or len(order) > 1 else F.col(order[0])
     sample = df.select(*keys, point.alias(_POINT)).sample(fraction, seed=17)
-    # The sample has about SAMPLES_PER_SLICE * MAX_SLICES rows at most.
+    # The sample has about SAMPLES_PER_SLICE * MAX_SLICES rows at most; every step-th of a
+    # key is a cut point, so a key without much data has none.
     in_key = Window.partitionBy(*keys).orderBy(_POINT)
-    cuts = materialize(
+    chosen = (
         sample.withColumn("__n", F.row_number().over(in_key))
         .where(F.col("__n") % step == 0)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set(_POINT)).alias(_CUTS)),
-        "cuts",
+        .agg(F.array_sort(F.collect_set(_POINT)).alias("cuts"))
     )
-    longest = cuts.agg(F.max(F.size(_CUTS))).first()[0] or 0
-    if longest == 0:
-        return SlicedRows(df, keys, order, split=False, total=total)
-
-    if keys:
-        names = {k: f"__cut_{i}" for i, k in enumerate(keys)}
-        known = cuts.select(*[F.col(k).alias(n) for k, n in names.items()], _CUTS)
-        rows = df.join(F.broadcast(known), _all_equal(names), "left").drop(*names.values())
-        number = F.when(F.col(_CUTS).isNull(), F.lit(_WHOLE_KEY)).otherwise(
-            count_at_most(F.col(_CUTS), point, longest)
-        )
-        rows = rows.withColumn(SLICE, number).drop(_CUTS)
-        return SlicedRows(rows, keys, order, split=True, total=total)
-    sliced = SlicedRows(df, keys, order, split=True, total=total, cuts=cuts, longest=longest)
-    return replace(sliced, rows=sliced.number(df, point))
+    [(cuts, number)] = constant_arrays(chosen, "cuts")
+    if number == 0:
+        return SlicedRows(df, keys, order, split=False)
+    rows = df.withColumn(SLICE, count_at_most(cuts, point, number))
+    return SlicedRows(rows, keys, order, split=True, cuts=cuts)

@@ -22,7 +22,10 @@ ARGS = ("x", "start_ip", "end_ip", ["f1"])
 
 @pytest.mark.parametrize("way", WAYS)
 def test_interval_ends_holes_and_outside(spark, way):
-    bands = _bands(spark, [(10, 100, "a"), (110, 200, "b"), (220, 350, "c")])
+    bands = _bands(
+        spark,
+        [(10, 100, "a"), (110, 200, "b"), (220, 350, "c"), (None, 999, "x"), (500, None, "y")],
+    )
     values = spark.createDataFrame(
         [(x,) for x in (9, 10, 100, 105, 110, 220, 350, 400, None)], "x bigint"
     )
