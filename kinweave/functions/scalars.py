@@ -23,12 +23,16 @@ def _java_split(text: Column, pattern: str) -> Column:
     ``pattern`` must match a whole run of trailing separators at once, so at most one
     empty item ends the parts, or two make up the parts of a text of separators alone.
     """
-    parts = F.split(text, pattern)
-    n = F.size(parts)
-    alone = (n == 2) & (F.get(parts, F.lit(0)) == "")
-    ends_empty = (text != "") & (F.element_at(parts, -1) == "")
-    kept = F.when(alone, F.lit(0)).otherwise(n - F.lit(1))
-    return F.when(ends_empty, F.slice(parts, F.lit(1), kept)).otherwise(parts)
+
+    def without_trailing(parts: Column) -> Column:
+        n = F.size(parts)
+        alone = (n == 2) & (F.get(parts, F.lit(0)) == "")
+        ends_empty = (text != "") & (F.element_at(parts, -1) == "")
+        kept = F.when(alone, F.lit(0)).otherwise(n - F.lit(1))
+        return F.when(ends_empty, F.slice(parts, F.lit(1), kept)).otherwise(parts)
+
+    # The lambda names the parts, so a long text is split once and not per mention.
+    return F.get(F.transform(F.array(F.split(text, pattern)), without_trailing), F.lit(0))
 
 
 def tokens(text: Column | str) -> Column:
