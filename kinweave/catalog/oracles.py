@@ -22,6 +22,12 @@ SELECT word, count(*) AS n
 FROM (SELECT unnest({_TOKENS}) AS word FROM documents)
 GROUP BY word
 """
+ORACLES["word_count_text"] = rf"""
+SELECT word, count(*) AS n
+FROM (SELECT unnest({_TOKENS}) AS word
+      FROM (SELECT unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS text FROM documents))
+GROUP BY word
+"""
 ORACLES["checkpoint_reload"] = ORACLES["word_count"]
 
 ORACLES["sum_by_key"] = """

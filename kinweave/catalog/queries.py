@@ -12,7 +12,6 @@ from kinweave import sources as src
 from kinweave.functions import (
     compare_to_range,
     contains_literal,
-    java_hash,
     tokens,
     url_host,
 )
@@ -42,6 +41,14 @@ def word_count(spark, sf_dir):
     return op.word_count(_table(spark, sf_dir, "documents"), "text")
 
 
+@_query
+def word_count_text(spark, sf_dir):
+    """The same over text files, line by line."""
+    path = scratch_path(spark, "documents_text")
+    src.write_text(_table(spark, sf_dir, "documents"), path, columns=["text"])
+    return op.word_count(src.read_text(spark, path))
+
+
 @_query
 def checkpoint_reload(spark, sf_dir):
     path = scratch_path(spark, "word_count")
@@ -114,7 +121,8 @@ def range_compare(spark, sf_dir):
 def _nation_names(spark, sf_dir) -> DataFrame:
     """Names of the nations of three regions, each after an older line that must lose."""
     nation = _table(spark, sf_dir, "nation").where("n_regionkey < 3")
-    old = nation.select("n_nationkey", F.concat(F.lit("OLD_"), "n_name").alias("n_name"), F.lit(1).alias("line"))
+    old_name = F.concat(F.lit("OLD_"), "n_name").alias("n_name")
+    old = nation.select("n_nationkey", old_name, F.lit(1).alias("line"))
     new = nation.select("n_nationkey", "n_name", F.lit(2).alias("line"))
     return old.unionByName(new)
 

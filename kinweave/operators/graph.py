@@ -77,7 +77,9 @@ def vertices_and_edges(
         counted.where(F.col("dst").isNull() | (F.col("n") > more_than)).drop("n"), "graph"
     )
     return (
-        kept.where(F.col("dst").isNull()).select(F.col("src").alias("id")),
+        kept.where(F.col("dst").isNull() & F.col("src").isNotNull()).select(
+            F.col("src").alias("id")
+        ),
         kept.where(F.col("dst").isNotNull()),
     )
 

@@ -38,9 +38,16 @@ def keyed_lookup(
     """Append to every row of ``big`` the value of its key; a miss gives the text ``miss``.
 
     With ``order`` the last of several rows with one key wins; without it the keys of
-    ``small`` must be unique. ``small`` is broadcast when it measures small enough.
+    ``small`` must be unique, which is checked. ``small`` is broadcast when it measures
+    small enough.
     """
-    small = small.select(key, value) if order is None else last_per_key(small, key, value, order)
+    if order is None:
+        small = small.select(key, value)
+        twice = small.groupBy(key).count().where("count > 1").first()
+        if twice is not None:
+            raise ValueError(f"key {twice[0]!r} occurs {twice[1]} times; give an order column")
+    else:
+        small = last_per_key(small, key, value, order)
     joined = lookup_join(big, small, [key], max_rows)
     if miss is None:
         return joined

@@ -88,6 +88,14 @@ def test_keyed_lookup_last_line_wins_and_misses_are_text(spark):
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_keyed_lookup_without_order_wants_unique_keys(spark):
+    big = spark.createDataFrame([(1,)], "id int")
+    small = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    assert rows(op.keyed_lookup(big, small, "id", "name")) == [(1, "a")]
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        op.keyed_lookup(big, small.union(small), "id", "name")
+
+
 def test_size_check_measures_rows_and_bytes(spark):
     df = spark.createDataFrame([("x" * 1000,)] * 10, "s string")
     assert fits_broadcast(df)
