@@ -1,10 +1,13 @@
+import os
+from types import SimpleNamespace
+
 import pytest
 from conftest import rows
 from pyspark.errors import AnalysisException
 
 from kinweave import operators as op
 from kinweave import sources as src
-from kinweave.plans.storage import checkpoint_read, checkpoint_write, discard, materialize
+from kinweave.plans.storage import checkpoint_read, checkpoint_write, discard, materialize, shared_dir
 
 
 def test_text_file_and_folder(spark, tmp_path):
@@ -86,3 +89,16 @@ def test_checkpoint_roundtrip_and_discard(spark, tmp_path):
     discard(stored)
     with pytest.raises(AnalysisException):
         spark.read.parquet(files[0]).count()
+
+
+def test_shared_folder_setting(spark):
+    def session(folder, master):
+        conf = SimpleNamespace(get=lambda key, default: folder)
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    assert shared_dir(session("hdfs://x/ck/", "yarn")) == "hdfs://x/ck"
+    local = shared_dir(session(None, "local[2]"))
+    assert os.path.isdir(local) and shared_dir(session(None, "local[2]")) == local
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session(None, "yarn"))
