@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import toxicity
+from kinweave.llm import pii, quality_rules, token_output, toxicity
+from kinweave.plans.storage import scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -24,3 +25,30 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     )
+
+
+@_query
+def op8_token_output(spark, sf_dir):
+    return token_digests(spark, _table(spark, sf_dir, "documents"))
+
+
+def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents written as token-id chunks and read back as digests of their ids."""
+    import public_tokenizers
+
+    path = scratch_path(spark, "token_ids")
+    token_output.write_token_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_output.read_token_ids(spark, path, digest=True)
+
+
+@_query
+def op3_quality_rules(spark, sf_dir):
+    judged = quality_rules.judge_quality(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", *quality_rules.FIELDS[:5], "base_failed", "kept", "posterior"
+    )
+
+
+@_query
+def op6_pii(spark, sf_dir):
+    return pii.find_pii(_table(spark, sf_dir, "documents"), digest=True)

@@ -36,7 +36,7 @@ class Ftrl:
 
     alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 8.0  # for a full shard; less in proportion for a smaller one, down to 0.5
+    l1: float = 5.0
     l2: float = 0.1
     epochs: int = 8
 
@@ -59,7 +59,7 @@ def features(text: str | None) -> np.ndarray:
 def fit_shard(texts: list[str | None], labels: np.ndarray, opt: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal over one shard: the hashes with a weight, and the weights.
 
-    Positives weigh as much as negatives in sum, at most tenfold each.
+    Positives weigh as much as negatives in sum, at most threefold each.
     """
     bags = [features(t) for t in texts]
     seen, counts = np.unique(np.concatenate(bags), return_counts=True)
@@ -71,14 +71,13 @@ def fit_shard(texts: list[str | None], labels: np.ndarray, opt: Ftrl) -> tuple[n
         kept = at[seen[at] == bag]
         rows.append(np.unique(np.append(kept, np.searchsorted(seen, np.uint64(BIAS)))))
     positives = max(1, int(labels.sum()))
-    boost = min(10.0, max(1.0, (len(labels) - positives) / positives))
+    boost = min(3.0, max(1.0, (len(labels) - positives) / positives))
     z, n = np.zeros(len(seen)), np.zeros(len(seen))
-    penalty = max(0.5, opt.l1 * min(1.0, len(labels) / DOCS_PER_SHARD))
     bias = int(np.searchsorted(seen, np.uint64(BIAS)))
 
     def weights(at: np.ndarray) -> np.ndarray:
         zi = z[at]
-        l1 = np.where(at == bias, 0.0, penalty)
+        l1 = np.where(at == bias, 0.0, opt.l1)
         raw = -(zi - np.sign(zi) * l1) / ((opt.beta + np.sqrt(n[at])) / opt.alpha + opt.l2)
         return np.where(np.abs(zi) <= l1, 0.0, raw)
 

@@ -1,0 +1,66 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from kinweave.llm import pii as op
+
+# Plain patterns, searched as they stand.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain(text):
+    def n(m):
+        return len(re.sub("[^0-9]", "", m[0]))
+
+    def luhn(m):
+        d = [int(c) for c in re.sub("[^0-9]", "", m[0])][::-1]
+        return sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])
+
+    return {
+        "email": [m.span() for m in EMAIL.finditer(text)],
+        "ip": [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))],
+        "card": [m.span() for m in CARD.finditer(text) if 13 <= n(m) <= 19 and luhn(m) % 10 == 0],
+        "phone": [m.span() for m in PHONE.finditer(text) if 9 <= n(m) <= 15],
+    }
+
+
+PIECES = ["@", ".", "a", "b.c", "%", "é", " ", "-", "1", "255", "256", "0", "+", "(", ")", "\n"]
+PIECES += ["4111 1111 1111 1111", "1.2.3.4", "x@y.zz", "+1 (202) 555-0143", "4012888888881881"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=40))
+def test_base_spans_equal_plain_patterns(pieces):
+    text = "".join(pieces)
+    got = op.find_spans(text)
+    assert {k: [s[:2] for s in got[k]] for k in op.BASE} == plain(text)
+
+
+def test_very_long_texts_end():
+    for text in ("1" * 300_000, "1." * 200_000, "a@" * 200_000, "+1(" * 200_000, "a" * 400_000 + "@"):
+        op.find_spans(text)
+
+
+def test_added_kinds_need_proof():
+    good = op.find_spans("Bank: DE89 3704 0044 0532 0130 00, call 202-555-0143; SSN 078-05-1120")
+    assert [len(good[k]) for k in ("iban", "national_phone", "ssn")] == [1, 1, 1]
+    bad = op.find_spans("DE88370400440532013000 part 202-555-0143 of 078-05-1120")
+    assert [len(bad[k]) for k in ("iban", "national_phone", "ssn")] == [0, 0, 0]
+
+
+def test_rows(spark):
+    data = [(1, "é x@y.zz", "a"), (1, "é x@y.zz", "a"), (2, None, "b"), (None, "", "c")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, spans string")
+    rows = op.find_pii(docs, digest=True).collect()
+    assert sorted((str(r.doc_id), r.n_email, r.spans) for r in rows) == [
+        ("1", 1, "email:2:8"), ("1", 1, "email:2:8"), ("2", 0, ""), ("None", 0, "")
+    ]
+    empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    assert {r.base_sha256 for r in rows if r.n_email == 0} == {empty}
+    spans = op.find_pii(docs.limit(1)).first().spans
+    assert [(s.kind, s.start, s.end) for s in spans] == [("email", 2, 8)]
+    assert op.find_pii(docs.limit(0)).count() == 0
