@@ -23,6 +23,7 @@ MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of the words
 SYMBOLS = "#*$%&|<>"
 KEEP_FROM = 0.5
+MAX_BLAME = 0.002  # of the good texts, by any rule
 GOOD, BAD, ABSTAIN = 1, 0, -1
 
 
@@ -120,30 +121,24 @@ def votes() -> dict[str, Column]:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict:
-    """EM for the share of good texts and each rule's vote rates under good and under bad.
+    """EM for the share of good texts and for each rule's rate of blame in either class.
 
     ``patterns`` has a row of votes per pattern, ``counts`` how many documents show it.
-    Rules are independent given the class, and each has its own rates in either class: junk
-    comes in kinds, so a rule that seldom blames good texts may still miss most of the bad.
-    The start (a bad vote for one good text in 200, for every fourth bad one) settles
-    which class is the good one. It stays as a prior worth five documents and a twentieth of
-    all, so that the classes cannot drift into describing something else than junk.
-    Returns prior, rates and the posterior of each pattern.
+    Rules are independent given the class and an abstention says nothing. Junk comes in
+    kinds, so a rule may miss most of the bad texts, but it is written to blame at most
+    MAX_BLAME of the good ones; that bound also settles which class is the good one. Half a
+    percent of the documents and one stand behind the starting rates as a prior.
+    Returns prior, rates (class, rule) and the posterior of each pattern.
     """
-    seen = [patterns == v for v in (BAD, GOOD, ABSTAIN)]
-    k = patterns.shape[1]
+    bad, active = patterns == BAD, patterns != ABSTAIN
     prior = 0.8
-    total = np.stack([(s * counts[:, None]).sum(0) for s in seen]) + 1.0
-    quiet = total[2] / total.sum(0)
-    rates = np.empty((2, 3, k))  # class, vote, rule
-    for c in (0, 1):
-        blamed = (0.005 if c else 0.25) * (1 - quiet)
-        rates[c] = np.stack([blamed, 1 - quiet - blamed, quiet])
-    anchor = rates * (0.05 * counts.sum() + 5)
+    rates = np.stack([np.full(patterns.shape[1], 0.25), np.full(patterns.shape[1], MAX_BLAME)])
+    weight = 0.005 * counts.sum() + 1
+    anchor = rates * weight
     posterior = np.full(len(counts), prior)
     for _ in range(rounds):
         logs = [
-            sum((seen[v] * np.log(rates[c, v])).sum(1) for v in range(3))
+            (bad * np.log(rates[c]) + (active & ~bad) * np.log1p(-rates[c])).sum(1)
             + np.log(prior if c else 1 - prior)
             for c in (0, 1)
         ]
@@ -152,9 +147,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dic
         posterior = fresh
         if done:
             break
-        for c, weight in ((1, posterior * counts), (0, (1 - posterior) * counts)):
-            mass = np.stack([(s * weight[:, None]).sum(0) for s in seen]) + anchor[c]
-            rates[c] = mass / mass.sum(0)
+        for c, mass in ((1, posterior * counts), (0, (1 - posterior) * counts)):
+            blamed = (bad * mass[:, None]).sum(0) + anchor[c]
+            voted = (active * mass[:, None]).sum(0) + weight
+            rates[c] = np.clip(blamed / voted, 1e-9, MAX_BLAME if c else 1 - 1e-9)
         good = (posterior * counts).sum()
         prior = float(np.clip((good + 1) / (counts.sum() + 2), 1e-6, 1 - 1e-6))
     return {"prior": prior, "rates": rates, "posterior": posterior}
