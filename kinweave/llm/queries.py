@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import pii, quality_rules, token_output, toxicity
+from kinweave.llm import mixing, pii, quality_rules, token_output, toxicity
 from kinweave.plans.storage import scratch_path
 
 QUERIES = {}
@@ -52,3 +52,47 @@ def op3_quality_rules(spark, sf_dir):
 @_query
 def op6_pii(spark, sf_dir):
     return pii.find_pii(_table(spark, sf_dir, "documents"), digest=True)
+
+
+@_query
+def op10_poisson_mix(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.root_weights(docs))
+
+
+# Digit k of the hash, 13 hexadecimal digits, gives a 52-bit number; the Poisson sums are the
+# running products of the operator, in the same order.
+ORACLES["op10_poisson_mix"] = """
+WITH RECURSIVE sizes AS (
+    SELECT source, count(*) AS n, sqrt(count(*)::DOUBLE) AS w FROM documents GROUP BY source
+), rates AS (
+    SELECT source,
+           (SELECT sum(n) FROM sizes)::DOUBLE * w / (SELECT sum(w) FROM sizes) / n AS rate
+    FROM sizes
+), sums AS (
+    SELECT source, rate, ceil(rate / 16)::INT AS parts, 0 AS k,
+           exp(-rate / ceil(rate / 16)) AS p, exp(-rate / ceil(rate / 16)) AS below
+    FROM rates
+    UNION ALL
+    SELECT source, rate, parts, k + 1, p * (rate / parts) / (k + 1),
+           below + p * (rate / parts) / (k + 1)
+    FROM sums WHERE k < 96
+), draws AS (
+    SELECT d.doc_id, part.i,
+           ('0x' || substr(md5('20:' || d.doc_id || ':' || part.i), 1, 13))::BIGINT
+               / 4503599627370496.0 AS u,
+           d.source
+    FROM documents d JOIN rates USING (source), range(1, 65) part(i)
+    WHERE part.i <= ceil(rate / 16)
+), counts AS (
+    SELECT doc_id, sum((SELECT count(*) FROM sums s
+                        WHERE s.source = draws.source AND s.k < 96 AND draws.u >= s.below)) AS n
+    FROM draws GROUP BY doc_id
+), copied AS (
+    SELECT doc_id, unnest(range(1, n::BIGINT + 1))::INT AS copy FROM counts
+)
+SELECT doc_id, text, lang, source, n_chars, copy,
+       ('0x' || substr(md5('20:order:' || doc_id || ':' || copy), 1, 13))::BIGINT
+           / 4503599627370496.0 AS order_key
+FROM copied JOIN documents USING (doc_id)
+"""
