@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinweave.llm import mixing, pii, quality_rules, token_output, toxicity
+from kinweave.llm import decontamination, mixing, pii, quality_rules, token_output, toxicity
 from kinweave.plans.storage import scratch_path
 
 QUERIES = {}
@@ -96,3 +97,50 @@ SELECT doc_id, text, lang, source, n_chars, copy,
            / 4503599627370496.0 AS order_key
 FROM copied JOIN documents USING (doc_id)
 """
+
+
+@_query
+def op9_decontamination(spark, sf_dir):
+    judged = decontamination.decontaminate(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    ids = F.sha2(F.concat_ws(",", "item_ids"), 256)
+    return judged.select(
+        "doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated"
+    )
+
+
+ORACLES["op9_decontamination"] = r"""
+WITH item_words AS (
+    SELECT item_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), doc_words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), item_windows AS (
+    SELECT DISTINCT item_id, least(len(w), 13) AS n,
+           array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS win
+    FROM item_words, range(1, greatest(len(w) - 12, 1) + 1) t(i) WHERE len(w) > 0
+), doc_windows AS (
+    SELECT doc_id, i AS first, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+    FROM doc_words, (SELECT DISTINCT n FROM item_windows) sizes, range(1, len(w) - n + 2) t(i)
+), hits AS (
+    SELECT DISTINCT doc_id, first, d.n, item_id
+    FROM doc_windows d JOIN item_windows i ON d.win = i.win AND d.n = i.n
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM hits, range(first, first + n) t(p) GROUP BY doc_id
+), listed AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items,
+           string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+    FROM hits GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
