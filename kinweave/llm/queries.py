@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import decontamination, mixing, pii, quality_rules, token_output, toxicity
+from kinweave.llm import decontamination, mixing, near_duplicates, pii, quality_rules, token_output, toxicity
 from kinweave.plans.storage import scratch_path
 
 QUERIES = {}
@@ -144,3 +144,8 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
+
+
+@_query
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
