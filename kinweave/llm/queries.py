@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import decontamination, mixing, near_duplicates, pii, quality_rules, token_output, toxicity
+from kinweave.llm import decontamination, mixing, near_duplicates, pii, quality_rules, substring_dedup, token_output, toxicity
 from kinweave.plans.storage import scratch_path
 
 QUERIES = {}
@@ -149,3 +149,31 @@ FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 @_query
 def op2_ngram_jaccard_join(spark, sf_dir):
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH doc_words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS win
+    FROM doc_words, range(1, len(w) - 11) t(i)
+), firsts AS (
+    SELECT win, min(doc_id) AS first FROM windows GROUP BY win
+), gone AS (
+    SELECT DISTINCT doc_id, p FROM windows JOIN firsts USING (win), range(i, i + 13) t(p)
+    WHERE first < doc_id
+), words AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc_words
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+    FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM doc_words LEFT JOIN kept USING (doc_id)
+"""
