@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import decontamination, mixing, near_duplicates, pii, quality_rules, substring_dedup, token_output, toxicity
+from kinweave.llm import (
+    decontamination,
+    licenses,
+    mixing,
+    near_duplicates,
+    pii,
+    quality_rules,
+    site_quality,
+    substring_dedup,
+    token_output,
+    toxicity,
+)
 from kinweave.plans.storage import scratch_path
 
 QUERIES = {}
@@ -177,3 +188,15 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
        sha256(coalesce(text, '')) AS kept_sha256
 FROM doc_words LEFT JOIN kept USING (doc_id)
 """
+
+
+@_query
+def op5_site_quality(spark, sf_dir):
+    return site_quality.judge_sites(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
+@_query
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
