@@ -2,27 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm.toxicity import score_toxicity
+from kinweave.llm.decontamination import decontaminate
+from kinweave.llm.mixing import mix, root_weights
+from kinweave.llm.near_duplicates import drop_rows, one_of_each_class
+from kinweave.llm.queries import token_digests
+from kinweave.llm.toxicity import THRESHOLD, with_scores
+from kinweave.plans.storage import materialize
 
-Stage = tuple[str, object]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; their rows stay as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = score_toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    scored = with_scores(docs, labels, "__toxicity")
+    return scored.where(scored["__toxicity"] < THRESHOLD).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return one_of_each_class(docs).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    judged = decontaminate(docs, items)
+    return drop_rows(docs, judged.where("contaminated")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of the documents in the target ratio of their sources, shuffled globally."""
+    return mix(docs, root_weights(docs)).select(docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids written as binary chunks, and their digests read back from these files."""
+    return token_digests(spark, docs)
+
 
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", write_tokens),
+]
 
-STAGES: list[Stage] = [("toxicity", drop_toxic)]
+# SQL expresses neither the trained score nor MinHash nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; each one's rows are stored for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.split()[0].replace('/', '')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -83,10 +83,10 @@ def rarest_tokens(windows: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def find_windows(documents: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows (key, doc_id, n_words, start, n, window), one per occurrence of a window.
+    """Rows (key, doc_id, text_hash, n_words, start, n, window), one per occurrence of a window.
 
     Besides, each document has one row with start 0 and no window. ``documents`` has the
-    key, doc_id and ``__words``.
+    key, doc_id, text_hash and ``__words``.
     """
     spark = documents.sparkSession
     nothing = spark.createDataFrame([("", None, 0, 0)], "token string, window string, place int, n int")
@@ -98,7 +98,7 @@ def find_windows(documents: DataFrame, windows: DataFrame) -> DataFrame:
         F.concat_ws(" ", F.slice("__words", F.greatest("start", F.lit(1)), F.col("n")))
         == F.col("window")
     )
-    found = [*_KEY, "doc_id", "n_words", "start", "n", "window"]
+    found = [*_KEY, "doc_id", "text_hash", "n_words", "start", "n", "window"]
     # An empty token in front stands for the document itself and shifts places to start at 1.
     tokens = F.posexplode(F.concat(F.array(F.lit("")), "__words")).alias("__at", "token")
     sized = documents.withColumn("n_words", F.size("__words"))
@@ -107,7 +107,7 @@ def find_windows(documents: DataFrame, windows: DataFrame) -> DataFrame:
     )
     if fits_broadcast(prefix):
         return (
-            sized.select(*_KEY, "doc_id", "n_words", "__words", tokens)
+            sized.select(*_KEY, "doc_id", "text_hash", "n_words", "__words", tokens)
             .join(F.broadcast(prefix), "token")
             .withColumn("start", place)
             .where(inside)
@@ -116,7 +116,7 @@ def find_windows(documents: DataFrame, windows: DataFrame) -> DataFrame:
         )
     # Only places travel in the shuffle on tokens; the words join them where some are left.
     candidates = (
-        sized.select(*_KEY, "doc_id", "n_words", tokens)
+        sized.select(*_KEY, "doc_id", "text_hash", "n_words", tokens)
         .join(prefix, "token")
         .withColumn("start", place)
         .where(inside)
@@ -129,7 +129,7 @@ def find_windows(documents: DataFrame, windows: DataFrame) -> DataFrame:
 def decontaminate(
     docs: DataFrame, items: DataFrame, width: int = WIDTH, share: int = SHARE
 ) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, item_ids (array) and contaminated.
+    """Per document: doc_id, n_words, n_hit, n_items, item_ids (array), contaminated, text_hash.
 
     A word inside any occurrence of a window is hit; contaminated is n_hit > 0 and
     share * n_hit >= n_words. Null texts have no words. Rows that share a doc_id are judged
@@ -142,6 +142,7 @@ def decontaminate(
         F.xxhash64(F.col("doc_id").isNull(), "doc_id", text).alias("__a"),
         F.xxhash64(F.lit(7), text, F.col("doc_id").isNull(), "doc_id").alias("__b"),
         "doc_id",
+        F.xxhash64(text).alias("text_hash"),
         plain_tokens(text).alias("__words"),
     )
     windows = materialize(item_windows(items, width), "item_windows")
@@ -154,6 +155,7 @@ def decontaminate(
         hits.select(
             *_KEY,
             "doc_id",
+            "text_hash",
             "n_words",
             F.col("window").isNull().cast("bigint").alias("__row"),
             F.greatest(end - F.greatest(F.col("start"), reached), F.lit(0)).alias("__new"),
@@ -161,6 +163,7 @@ def decontaminate(
         .groupBy(*_KEY)
         .agg(
             F.first("doc_id").alias("doc_id"),
+            F.first("text_hash").alias("text_hash"),
             F.max("n_words").cast("bigint").alias("n_words"),
             F.sum("__row").alias("__rows"),
             F.sum("__new").cast("bigint").alias("n_hit"),
@@ -185,4 +188,5 @@ def decontaminate(
         F.size("item_ids").cast("bigint").alias("n_items"),
         "item_ids",
         bad.alias("contaminated"),
+        "text_hash",
     )

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.text import gram_hashes, hashes, mixed, words_of
 from kinweave.operators.graph import connected_components
+from kinweave.plans.joins import fits_broadcast
 from kinweave.plans.storage import materialize
 
 WORDS = 5
@@ -233,7 +234,7 @@ def _meeting(threshold: float):
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, seats: int = SEATS
 ) -> DataFrame:
-    """Per document: doc_id, class_id, copy_id, n_links and n_shingles.
+    """Per document: doc_id, class_id, copy_id, n_links, n_shingles and text_hash.
 
     Two documents are linked if the Jaccard similarity of their shingle sets is at least
     ``threshold``. class_id is the smallest doc_id that links lead to, copy_id the smallest
@@ -310,7 +311,7 @@ def near_duplicates(
     salted = settled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salt = F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int").alias("salt")
     return (
-        signed.select("doc_id", "id", "set_a", "set_b", "n_shingles", salt)
+        signed.select("doc_id", "id", "text_hash", "set_a", "set_b", "n_shingles", salt)
         .join(salted, ["set_a", "set_b", "salt"], "left")
         .select(
             "doc_id",
@@ -318,5 +319,41 @@ def near_duplicates(
             F.coalesce("copy_id", "id").alias("copy_id"),
             F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
             "n_shingles",
+            "text_hash",
         )
     )
+
+
+def drop_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose (doc_id, text_hash) is not among the rejected ones."""
+    gone = rejected.select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")
+    ).distinct()
+    gone = materialize(gone, "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64(
+        F.col("text").cast("string")
+    ).eqNullSafe(F.col("__hash"))
+    return docs.join(F.broadcast(gone) if fits_broadcast(gone) else gone, same, "left_anti")
+
+
+def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
+    """The documents without near duplicates: of every class the smallest doc_id stays.
+
+    Texts without words have no duplicates. Of rows that agree in id and text one stays.
+    """
+    found = materialize(near_duplicates(docs, **options), "near_duplicates")
+    linked = found.where("n_links > 0")
+    first = F.coalesce(F.col("doc_id").cast("bigint"), F.col("text_hash")) == F.col("class_id")
+    kept = drop_rows(docs, linked.where(~first))
+    repeated = materialize(
+        linked.where(first).groupBy("doc_id", "text_hash").count().where("count > 1"), "repeated_rows"
+    )
+    if repeated.isEmpty():
+        return kept
+    single = drop_rows(kept, repeated)
+    hashed = kept.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").eqNullSafe(F.col("__r")) & (F.col("__hash") == F.col("text_hash"))
+    others = hashed.join(
+        repeated.select(F.col("doc_id").alias("__r"), "text_hash"), same, "left_semi"
+    )
+    return single.unionByName(others.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))

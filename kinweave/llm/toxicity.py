@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kinweave.llm.text import gram_hashes, hashes, mixed, plain_words
 
@@ -158,31 +159,38 @@ def score_text(text: str | None, at: np.ndarray, w: np.ndarray) -> float:
     return float(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))
 
 
-def score_toxicity(
-    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options
-) -> DataFrame:
-    """Per document: doc_id, held_out, score and predicted (score >= threshold).
-
-    Null and empty texts are scored by the bias alone. Repeated rows are scored one by
-    one; a null id is in no fold, so held_out is false. Without labels all scores are 0.
-    """
+def with_scores(docs: DataFrame, labels: DataFrame, column: str = "score", **options) -> DataFrame:
+    """The rows as they are, with their toxicity score in ``column``; no shuffle."""
     at, w = fit(docs, labels, **options)
     model = docs.sparkSession.sparkContext.broadcast((at, w))
+    # A void column has no Arrow form that comes back; as text it stays null.
+    kept = docs.drop(column).select(
+        *[F.col(f.name).cast("string") if f.dataType.simpleString() == "void" else f.name
+          for f in docs.drop(column).schema.fields]
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = model.value
         for batch in batches:
-            scores = [score_text(t.as_py(), at, w) for t in batch.column("text")]
+            texts = batch.column("text").cast(pa.string())
+            scores = pa.array([score_text(t.as_py(), at, w) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"]
+                [*batch.columns, scores], [*batch.schema.names, column]
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        score, f"doc_id {kind}, score double"
-    )
+    return kept.mapInArrow(score, StructType([*kept.schema.fields, StructField(column, DoubleType())]))
+
+
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options
+) -> DataFrame:
+    """Per document: doc_id, held_out, score and predicted (score >= threshold).
+
+    Null and empty texts are scored by the bias alone. Repeated rows are scored one by
+    one; a null id is in no fold, so held_out is false. Without labels all scores are 0.
+    """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
-    return scored.select(
+    return with_scores(docs.select("doc_id", "text"), labels, **options).select(
         "doc_id",
         F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
