@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.functions.scalars import comma_fields, count_at_most
 from kinweave.operators.windows import row_position
@@ -22,8 +23,11 @@ _OVERLAP = "intervals are not disjoint"
 
 
 def last_per_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """One row per key: the value that comes last in ``order``."""
-    return df.groupBy(key).agg(F.max_by(value, order).alias(value))
+    """One row per key: the value that comes last in ``order``.
+
+    A row without an order comes before all others; of tied rows the largest value wins.
+    """
+    return df.groupBy(key).agg(F.max_by(value, F.struct(order, value)).alias(value))
 
 
 def keyed_lookup(
@@ -35,23 +39,25 @@ def keyed_lookup(
     miss: str | None = "null",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Append to every row of ``big`` the value of its key; a miss gives the text ``miss``.
+    """Append to every row of ``big`` the value of its key; a miss gives ``miss``.
 
-    With ``order`` the last of several rows with one key wins; without it the keys of
+    A text as ``miss`` makes the value a text too. With ``order`` the last of several rows with one key wins; without it the keys of
     ``small`` must be unique, which is checked. ``small`` is broadcast when it measures
     small enough.
     """
     if order is None:
         small = small.select(key, value)
-        twice = small.groupBy(key).count().where("count > 1").first()
+        keyed = small.where(F.col(key).isNotNull())  # a null key never matches
+        twice = keyed.groupBy(key).count().where("count > 1").first()
         if twice is not None:
             raise ValueError(f"key {twice[0]!r} occurs {twice[1]} times; give an order column")
     else:
-        small = last_per_key(small, key, value, order)
+        small = last_per_key(small.where(F.col(key).isNotNull()), key, value, order)
     joined = lookup_join(big, small, [key], max_rows)
     if miss is None:
         return joined
-    return joined.withColumn(value, F.coalesce(F.col(value), F.lit(miss)))
+    found = F.col(value).cast("string") if isinstance(miss, str) else F.col(value)
+    return joined.withColumn(value, F.coalesce(found, F.lit(miss)))
 
 
 def append_lookup_text(
@@ -76,11 +82,20 @@ def position_lookup(values: DataFrame, dictionary: DataFrame, value: str) -> Dat
     return joined.withColumn("position", F.coalesce("position", F.lit(-1).cast("bigint")))
 
 
-def _bounded(dictionary: DataFrame, start: str, end: str, payload: Sequence[str]) -> DataFrame:
-    """The intervals that have both ends; one without them can hold nothing."""
-    return dictionary.select(start, end, *payload).where(
-        F.col(start).isNotNull() & F.col(end).isNotNull()
-    )
+def _common_type(values: DataFrame, dictionary: DataFrame, x: str, start: str, end: str) -> T.DataType:
+    """The type in which BETWEEN compares a value with both ends."""
+    kinds = [values.schema[x], dictionary.schema[start], dictionary.schema[end]]
+    nulls = [F.lit(None).cast(k.dataType) for k in kinds]
+    return values.sparkSession.range(0).select(F.coalesce(*nulls).alias("x")).schema["x"].dataType
+
+
+def _bounded(
+    dictionary: DataFrame, start: str, end: str, payload: Sequence[str], kind: T.DataType
+) -> DataFrame:
+    """The intervals that have both ends, of the common type; without them one holds nothing."""
+    return dictionary.select(
+        F.col(start).cast(kind).alias(start), F.col(end).cast(kind).alias(end), *payload
+    ).where(F.col(start).isNotNull() & F.col(end).isNotNull())
 
 
 def range_lookup(
@@ -94,16 +109,27 @@ def range_lookup(
 ) -> DataFrame:
     """Interval that holds ``x`` (both ends belong to it): its payload and 0-based position.
 
-    No match gives position -1 and a null payload. A dictionary over ``max_rows`` goes
-    through ``range_lookup_asof``.
+    No match gives position -1 and a null payload. Value and ends are compared in their
+    common type, and intervals that overlap fail the job, whatever their number. A
+    dictionary over ``max_rows`` goes through ``range_lookup_asof``.
     """
-    bounded = _bounded(dictionary, start, end, payload)
+    kind = _common_type(values, dictionary, x, start, end)
+    bounded = _bounded(dictionary, start, end, payload, kind)
     if bounded.count() > max_rows:
-        return range_lookup_asof(values, bounded, x, start, end, payload)
-    ranked = row_position(bounded, [start]).select(
-        F.col(start).alias("__start"), F.col(end).alias("__end"), *payload, "position"
+        return range_lookup_asof(values, dictionary, x, start, end, payload)
+    # At most max_rows rows, so one window may order them all.
+    ordered = Window.orderBy("__start", "__end")
+    ranked = (
+        bounded.select(F.col(start).alias("__start"), F.col(end).alias("__end"), *payload)
+        .withColumn("__before", F.lag("__end").over(ordered))
+        .withColumn("position", (F.row_number().over(ordered) - 1).cast("bigint"))
     )
-    inside = F.col(x).between(F.col("__start"), F.col("__end"))
+    clash = F.col("__start") <= F.col("__before")
+    checked = F.when(clash, F.raise_error(F.lit(_OVERLAP)).cast("bigint")).otherwise(F.col("position"))
+    # Sorting evaluates the check for every interval before any is joined.
+    ranked = ranked.select("__start", "__end", *payload, checked.alias("position")).orderBy("position")
+    probe = F.col(x).cast(kind)
+    inside = (probe >= F.col("__start")) & (probe <= F.col("__end"))
     joined = values.join(F.broadcast(ranked), inside, "left").drop("__start", "__end")
     return joined.withColumn("position", F.coalesce("position", F.lit(-1).cast("bigint")))
 
@@ -124,9 +150,10 @@ def range_lookup_asof(
     starts, and the big side is not shuffled. A larger dictionary goes through
     ``range_lookup_merged``. Overlapping intervals fail the job.
     """
-    bounded = _bounded(dictionary, start, end, payload)
+    kind = _common_type(values, dictionary, x, start, end)
+    bounded = _bounded(dictionary, start, end, payload, kind)
     if not fits_broadcast(bounded, max_rows, SEARCH_BYTES):
-        return range_lookup_merged(values, bounded, x, start, end, payload)
+        return range_lookup_merged(values, dictionary, x, start, end, payload)
     interval = F.struct(start, F.struct(F.col(end).alias("end"), *payload).alias("rest"))
     ordered = bounded.agg(F.array_sort(F.collect_list(interval)).alias("items"))
     others = F.greatest(F.size("items") - F.lit(1), F.lit(0))
@@ -145,12 +172,11 @@ def range_lookup_asof(
         F.col("__item.rest.end").alias("__end"),
         *[F.col("__item.rest")[c].alias(f"__of_{c}") for c in payload],
     )
-    # The probe takes the type of the dictionary, or the two could not be compared.
-    probe = F.col(x).cast(dictionary.schema[start].dataType)
+    probe = F.col(x).cast(kind)
     found = values.withColumn("__index", count_at_most(points, probe, number) - F.lit(1))
     same = F.col("__index").eqNullSafe(F.col("__position"))
     found = found.join(F.broadcast(ranked), same, "left")
-    hit = F.col(x) <= F.col("__end")
+    hit = probe <= F.col("__end")
     return found.select(
         *values.columns,
         *[F.when(hit, F.col(f"__of_{c}")).alias(c) for c in payload],
@@ -176,8 +202,8 @@ def range_lookup_merged(
     is cut into several slices too. A task that runs again may number rows differently,
     but then only rows that are equal in every column change places.
     """
-    kind = dictionary.schema[start].dataType
-    starts = _bounded(dictionary, start, end, payload).select(
+    kind = _common_type(values, dictionary, x, start, end)
+    starts = _bounded(dictionary, start, end, payload, kind).select(
         F.col(start).alias("__x"),
         F.lit(0).alias("__kind"),
         F.lit(0).cast("bigint").alias("__hash"),

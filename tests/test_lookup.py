@@ -8,6 +8,10 @@ from kinweave import operators as op
 from kinweave.plans.joins import fits_broadcast, lookup_join, shuffled_lookup
 
 
+# Fixed values in the tests below: the intervals (10-100, 110-200, 220-350) and the sorted list
+# (1, 2, 3, 4, 5, 6, 8, 19, 20, 32) are those whose results have to match.
+
+
 def _bands(spark, triples):
     return spark.createDataFrame(triples, "start_ip bigint, end_ip bigint, f1 string")
 
@@ -54,14 +58,42 @@ def test_all_ways_agree_when_one_value_is_a_third(spark, rows_per_slice):
     assert rows(op.range_lookup_asof(values, bands, *ARGS, max_rows=10)) == want
 
 
-@pytest.mark.parametrize("way", ["search", "merged"])
-def test_overlapping_intervals_fail(spark, way):
-    bands = _bands(spark, [(10, 100, "a"), (100, 200, "b")])
+@pytest.mark.parametrize("way", WAYS)
+@pytest.mark.parametrize("more", [0, 98, 99])
+def test_overlapping_intervals_fail_at_every_size(spark, way, more):
+    # 100 intervals still go the BETWEEN way, 101 do not.
+    apart = [(1000 + 10 * i, 1005 + 10 * i, "c") for i in range(more)]
+    bands = _bands(spark, [(10, 100, "a"), (100, 200, "b"), *apart])
     values = spark.createDataFrame([(150,)], "x bigint")
     with pytest.raises(Exception, match="not disjoint"):
         WAYS[way](values, bands, *ARGS).collect()
 
 
+@pytest.mark.parametrize("way", WAYS)
+@pytest.mark.parametrize(
+    "x_type,bound_type,bounds,hits",
+    [
+        ("double", "bigint", [("0", "100"), ("110", "200")],
+         {"-0.5": -1, "0": 0, "100": 0, "100.5": -1, "110": 1, "200": 1, "200.7": -1, None: -1}),
+        ("timestamp", "date", [("2020-01-01", "2020-01-02"), ("2020-02-01", "2020-02-03")],
+         {"2020-01-02 00:00:00": 0, "2020-01-02 12:00:00": -1, "2020-02-02 12:00:00": 1, None: -1}),
+        ("decimal(10,2)", "bigint", [("0", "100")], {"-0.01": -1, "99.99": 0, "100.01": -1, None: -1}),
+        ("bigint", "decimal(10,2)", [("0.50", "2.50")], {"0": -1, "1": 0, "2": 0, "3": -1}),
+        ("int", "double", [("0.5", "2.5")], {"0": -1, "1": 0, "2": 0, "3": -1}),
+    ],
+)
+def test_comparison_is_that_of_between(spark, way, x_type, bound_type, bounds, hits):
+    bands = spark.createDataFrame([(a, b, "f") for a, b in bounds], "a string, b string, f1 string")
+    bands = bands.select(
+        F.col("a").cast(bound_type).alias("start_ip"), F.col("b").cast(bound_type).alias("end_ip"), "f1"
+    )
+    values = spark.createDataFrame([(t,) for t in hits], "t string")
+    values = values.withColumn("x", F.col("t").cast(x_type))
+    got = WAYS[way](values, bands, *ARGS)
+    assert {r.t: r.position for r in got.collect()} == hits
+    assert [f.dataType for f in got.schema][:2] == [f.dataType for f in values.schema]
+
+
 @pytest.mark.parametrize("way", WAYS)
 def test_empty_dictionary(spark, way):
     values = spark.createDataFrame([(1,)], "x bigint")
@@ -96,6 +128,20 @@ def test_keyed_lookup_without_order_wants_unique_keys(spark):
         op.keyed_lookup(big, small.union(small), "id", "name")
 
 
+def test_keyed_lookup_of_numbers_null_orders_and_ties(spark):
+    big = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "id int")
+    small = spark.createDataFrame(
+        [(1, 10, None), (2, 5, None), (2, 7, 1), (3, 8, 1), (3, 9, 1), (None, 1, 1), (None, 2, 2)],
+        "id int, v int, line int",
+    )
+    got = op.keyed_lookup(big, small, "id", "v", "line")
+    assert rows(got) == [(1, "10"), (2, "7"), (3, "9"), (4, "null"), (None, "null")]
+    number = op.keyed_lookup(big, small, "id", "v", "line", miss=-1)
+    assert rows(number) == [(1, 10), (2, 7), (3, 9), (4, -1), (None, -1)]
+    unique = small.where("id IS NULL OR v IN (10, 7, 9)")
+    assert rows(op.keyed_lookup(big, unique, "id", "v", miss=None))[:3] == [(1, 10), (2, 7), (3, 9)]
+
+
 def test_size_check_measures_rows_and_bytes(spark):
     df = spark.createDataFrame([("x" * 1000,)] * 10, "s string")
     assert fits_broadcast(df)
