@@ -78,6 +78,20 @@ SELECT c_nationkey || ',' || c_name || ',' || c_mktsegment || ',' || coalesce(n.
 FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c_nationkey = n.n_nationkey
 """
 
+ORACLES["side_table_lookup"] = """
+SELECT c_custkey, c_nationkey AS id, coalesce(n.n_name, 'null') AS name
+FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c_nationkey = n.n_nationkey
+"""
+
+ORACLES["range_lookup_mixed_types"] = """
+SELECT e.event_id, e.value AS x, b.n_name AS band, coalesce(b.position, -1) AS position, way
+FROM events e
+CROSS JOIN (VALUES ('between'), ('search'), ('merged')) ways(way)
+LEFT JOIN (SELECT n_name, n_nationkey * 4 AS s, n_nationkey * 4 + 2 AS t,
+                  row_number() OVER (ORDER BY n_nationkey) - 1 AS position FROM nation) b
+  ON e.value BETWEEN b.s AND b.t
+"""
+
 _CENTS = "SELECT event_id, round(value * 100)::BIGINT AS cents FROM events"
 
 ORACLES["range_lookup"] = f"""
@@ -162,8 +176,8 @@ JOIN region ON n_regionkey = r_regionkey
 GROUP BY r_name
 """
 
-ORACLES["bitmap_distinct_strings"] = f"""
-SELECT c_mktsegment, count(DISTINCT {_java_hash("c_name")}) AS n FROM customer GROUP BY c_mktsegment
+ORACLES["bitmap_distinct_strings"] = """
+SELECT c_mktsegment, count(DISTINCT c_name) AS n FROM customer GROUP BY c_mktsegment
 """
 
 _ORDER_LINES = """
@@ -222,6 +236,37 @@ reach AS (
 SELECT id, min(label) AS component FROM reach GROUP BY id
 """
 
+_REACH = """
+links AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+reach AS (
+  SELECT DISTINCT a AS id, a AS label FROM links
+  UNION
+  SELECT b, label FROM reach JOIN links ON id = a WHERE label < b)
+"""
+
+# The smallest vertex of a component has no smaller neighbour, so only such labels are spread.
+ORACLES["connected_components_all"] = f"""
+WITH RECURSIVE edges AS (
+  SELECT DISTINCT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM ({_ORDER_LINES})),
+links AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+roots AS (SELECT a FROM links GROUP BY a HAVING min(b) > a),
+reach AS (
+  SELECT a AS id, a AS label FROM roots
+  UNION
+  SELECT b, label FROM reach JOIN links ON id = a)
+SELECT id, min(label) AS component FROM reach GROUP BY id
+"""
+
+ORACLES["connected_components_deep"] = f"""
+WITH RECURSIVE edges AS (
+  SELECT o_orderkey AS src, o_orderkey - 1 AS dst FROM orders WHERE o_orderkey % 64 <> 0
+  UNION ALL SELECT o_orderkey, -1 FROM orders WHERE o_orderkey % 448 = 0),
+{_REACH}
+SELECT id, min(label) AS component FROM reach GROUP BY id
+UNION ALL
+SELECT -o_orderkey - 1, -o_orderkey - 1 FROM orders WHERE o_orderkey % 1000 = 1
+"""
+
 
 def _day(name: str, where: str) -> str:
     """Vertices and supported edges of one day's logs as common table expressions."""
@@ -252,6 +297,13 @@ WITH RECURSIVE ids AS MATERIALIZED ({_IDS}), {_day("d", "true")}, {_labels("d",
 SELECT id AS biaoshi_hashcode, label AS guid FROM d_labels
 """
 
+ORACLES["id_mapping_exact"] = f"""
+WITH RECURSIVE texts AS MATERIALIZED ({_IDS}),
+ids AS MATERIALIZED (SELECT c_text AS c, s_text AS s, p_text AS p, l_linenumber FROM texts),
+{_day("d", "true")}, {_labels("d", "d_vertices", "d_edges")}
+SELECT id AS biaoshi_hashcode, label AS guid FROM d_labels
+"""
+
 ORACLES["id_mapping_rolling"] = f"""
 WITH RECURSIVE ids AS MATERIALIZED ({_IDS}),
 {_day("a", "o_orderdate < TIMESTAMP '1998-04-25'")}, {_labels("a", "a_vertices", "a_edges")},

@@ -12,6 +12,7 @@ from kinweave import sources as src
 from kinweave.functions import (
     compare_to_range,
     contains_literal,
+    java_hash,
     tokens,
     url_host,
 )
@@ -146,6 +147,32 @@ def lookup_text_lines(spark, sf_dir):
     return src.read_text(spark, path)
 
 
+@_query
+def side_table_lookup(spark, sf_dir):
+    """The side table comes from a file of id,name lines, of which the last one of an id wins."""
+    lines = _nation_names(spark, sf_dir).orderBy("line").select(
+        F.concat_ws(",", "n_nationkey", "n_name").alias("value")
+    )
+    path = scratch_path(spark, "side_table")
+    src.write_text(lines.coalesce(1), path)
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("id"))
+    return op.keyed_lookup(customers, src.read_side_table(spark, path), "id", "name", "line_order")
+
+
+@_query
+def range_lookup_mixed_types(spark, sf_dir):
+    """A double against whole-numbered ends, which are compared as doubles."""
+    events = _table(spark, sf_dir, "events").select("event_id", F.col("value").alias("x"))
+    key = F.col("n_nationkey").cast("bigint")
+    bands = _table(spark, sf_dir, "nation").select(
+        (key * 4).alias("start"), (key * 4 + 2).alias("end"), F.col("n_name").alias("band")
+    )
+    args = (events, bands, "x", "start", "end", ["band"])
+    ways = {"between": op.range_lookup, "search": op.range_lookup_asof, "merged": op.range_lookup_merged}
+    found = [way(*args).withColumn("way", F.lit(name)) for name, way in ways.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def _event_cents(spark, sf_dir) -> DataFrame:
     cents = F.round(F.col("value") * 100).cast("bigint")
     return _table(spark, sf_dir, "events").select("event_id", cents.alias("cents"))
@@ -357,13 +384,13 @@ def _id_arrays(spark, sf_dir) -> DataFrame:
 
 @_query
 def id_vertices(spark, sf_dir):
-    vertices = op.id_vertices(_id_arrays(spark, sf_dir))
+    vertices = op.id_vertices(_id_arrays(spark, sf_dir), key=java_hash)
     return vertices.groupBy("id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query
 def id_edges(spark, sf_dir):
-    return op.frequent_edges(op.pair_edges(_id_arrays(spark, sf_dir)))
+    return op.frequent_edges(op.pair_edges(_id_arrays(spark, sf_dir), key=java_hash))
 
 
 @_query
@@ -375,7 +402,7 @@ def chain_edges(spark, sf_dir):
             _prefixed("p", "l_partkey"),
         ).alias("fields")
     )
-    edges = op.chain_edges(rows)
+    edges = op.chain_edges(rows, key=java_hash)
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -387,21 +414,51 @@ def connected_components(spark, sf_dir):
     return op.connected_components(op.frequent_edges(pairs))
 
 
+@_query
+def connected_components_all(spark, sf_dir):
+    """Every customer-supplier pair: one dense component with hubs."""
+    pairs = _order_lines(spark, sf_dir).select(
+        (F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")
+    )
+    return op.connected_components(pairs)
+
+
+@_query
+def connected_components_deep(spark, sf_dir):
+    """Paths of 64 orders, every seventh path tied to a hub, and edges with a null end."""
+    key = F.col("o_orderkey")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    paths = orders.where(key % 64 != 0).select(key.alias("src"), (key - 1).alias("dst"))
+    hub = orders.where(key % 448 == 0).select(key.alias("src"), F.lit(-1).cast("bigint").alias("dst"))
+    loose = orders.where(key % 1000 == 1).select(
+        F.lit(None).cast("bigint").alias("src"), (-key - 1).alias("dst")
+    )
+    return op.connected_components(paths.unionByName(hub).unionByName(loose))
+
+
 @_query
 def id_mapping(spark, sf_dir):
     path = scratch_path(spark, "dictionary")
-    src.write_parquet(op.id_mapping(_logs(_order_lines(spark, sf_dir))), path)
+    src.write_parquet(op.id_mapping(_logs(_order_lines(spark, sf_dir)), key=java_hash), path)
     return src.read_dictionary(spark, path)
 
 
+@_query
+def id_mapping_exact(spark, sf_dir):
+    """The identifiers themselves as keys, so that no two people can share one."""
+    return op.id_mapping(_logs(_order_lines(spark, sf_dir)), key=lambda c: c)
+
+
 @_query
 def id_mapping_rolling(spark, sf_dir):
     lines = _order_lines(spark, sf_dir)
     first = lines.where(F.col("o_orderdate") < F.lit(SPLIT_DATE).cast("timestamp_ntz"))
     second = lines.where(F.col("o_orderdate") >= F.lit(SPLIT_DATE).cast("timestamp_ntz"))
     path = scratch_path(spark, "dictionary")
-    src.write_parquet(op.id_mapping(_logs(first)), path)
-    return op.id_mapping_rolling(_logs(second), src.read_dictionary(spark, path))
+    src.write_parquet(op.id_mapping(_logs(first), key=java_hash), path)
+    return op.id_mapping_rolling(
+        _logs(second), src.read_dictionary(spark, path), key=java_hash
+    )
 
 
 @_query
@@ -418,4 +475,4 @@ def tag_rows_with_guid(spark, sf_dir):
     )
     rows = customers.unionByName(suppliers)
     lines = rows.select(F.concat_ws(",", "name", "place", "amount").alias("value"))
-    return op.tag_rows_with_guid(lines, id_fields=[0, 1])
+    return op.tag_rows_with_guid(lines, id_fields=[0, 1], key=java_hash)

@@ -11,6 +11,7 @@ from kinweave.functions.scalars import (
     nonblank_items,
     tokens,
     url_host,
+    wide_key,
     within_seconds,
 )
 
@@ -25,5 +26,6 @@ __all__ = [
     "nonblank_items",
     "tokens",
     "url_host",
+    "wide_key",
     "within_seconds",
 ]

@@ -8,6 +8,7 @@ from kinweave.operators.bitmaps import (
 )
 from kinweave.operators.graph import (
     chain_edges,
+    chain_vertices_and_edges,
     connected_components,
     frequent_edges,
     id_vertices,
@@ -51,6 +52,7 @@ __all__ = [
     "bitmap_cardinality",
     "bitmap_merge",
     "chain_edges",
+    "chain_vertices_and_edges",
     "conjunctive_filter",
     "connected_components",
     "day_streaks",

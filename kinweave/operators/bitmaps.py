@@ -1,4 +1,7 @@
-"""Exact distinct counts that can be merged upwards, kept as bitmaps.
+"""Distinct counts that can be merged upwards, kept as bitmaps.
+
+Counts of integers are exact. Counts of strings are those of their 32-bit hashes: strings that
+collide count once, about one in 86,000 of a hundred thousand, and one in 86 of a hundred million.
 
 A bitmap covers 32,768 consecutive integers, so a set of integers is a group of rows
 ``(keys, bucket, bitmap)``. Bitmaps of a lower level merge into those of a higher level;
@@ -11,12 +14,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.functions.scalars import java_hash
 
 
 def bitmap_build(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Bitmaps of the integers in ``value`` per key; nulls are left out.
+    """Bitmaps of the integers in ``value`` per key; nulls are left out, other types fail.
 
     Repeats are dropped by a hash aggregate before any bitmap exists. A map-side bitmap
     aggregate would instead emit up to 4 KB for each single value of a sparse column, and
@@ -24,6 +28,8 @@ def bitmap_build(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     at most 32,768 rows, so the shuffle on (keys, bucket) is even.
     """
     keys = list(keys)
+    if not isinstance(df.schema[value].dataType, T.IntegralType):
+        raise TypeError(f"{value} must hold whole numbers")
     distinct = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("bigint").alias("__v")
     ).distinct()

@@ -11,16 +11,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.scalars import comma_fields, first_nonblank, java_hash, nonblank_items
+from kinweave.functions.scalars import comma_fields, first_nonblank, nonblank_items, wide_key
 from kinweave.operators.graph import (
-    chain_edges,
+    chain_vertices_and_edges,
     connected_components,
-    id_vertices,
     vertices_and_edges,
 )
 from kinweave.operators.relational import union_logs
 from kinweave.plans.joins import lookup_join
-from kinweave.plans.storage import materialize
+from kinweave.plans.storage import keeping_only, materialize
 from kinweave.sources.readers import PHONE_ID_FIELDS, parse_event_log
 
 KEY = "biaoshi_hashcode"
@@ -58,50 +57,55 @@ def _dictionary(labels: DataFrame) -> DataFrame:
 def id_mapping(
     logs: Sequence[DataFrame],
     more_than: int = 2,
-    key: Callable[[Column], Column] = java_hash,
+    key: Callable[[Column], Column] = wide_key,
 ) -> DataFrame:
     """Identifier dictionary ``(biaoshi_hashcode, guid)`` of one day.
 
-    Each log has a column ``ids``. ``key`` maps an identifier to BIGINT: ``java_hash``
-    keeps the ids of a JVM job, ``pyspark.sql.functions.xxhash64`` rarely collides.
+    Each log has a column ``ids``. ``key`` maps an identifier to its key: ``wide_key`` has
+    64 bits, ``lambda c: c`` keeps the text itself and never merges strangers, and
+    ``java_hash`` gives the ids of a JVM job, whose 32 bits collide.
     """
-    vertices, edges = _day_graph(logs, more_than, key)
-    return _dictionary(connected_components(edges, vertices))
+    with keeping_only(logs[0].sparkSession) as kept:
+        vertices, edges = _day_graph(logs, more_than, key)
+        kept.append(connected_components(edges, vertices))
+    return _dictionary(kept[0])
 
 
 def id_mapping_rolling(
     logs: Sequence[DataFrame],
     previous: DataFrame,
     more_than: int = 2,
-    key: Callable[[Column], Column] = java_hash,
+    key: Callable[[Column], Column] = wide_key,
 ) -> DataFrame:
     """Today's dictionary that keeps yesterday's person ids.
 
-    Yesterday's pairs join the graph whatever their support. A component takes the
+    The result is stored, and nothing else is left in storage. Yesterday's pairs join the graph whatever their support. A component takes the
     smallest guid that one of its identifiers had yesterday, or its own label when none
     had one. All of yesterday's identifiers stay in the dictionary.
     """
-    vertices, edges = _day_graph(logs, more_than, key)
-    kept = previous.select(F.col(KEY).alias("src"), F.col(GUID).alias("dst"))
-    old_ids = previous.select(F.col(KEY).alias("id"))
-    labels = materialize(
-        connected_components(edges.unionByName(kept), vertices.unionByName(old_ids)), "labels"
-    )
-    known = labels.join(
-        previous.select(F.col(KEY).alias("id"), F.col(GUID).alias("__old")), "id"
-    )
-    survivors = materialize(
-        known.groupBy("component").agg(F.min("__old").alias("__guid")), "survivors"
-    )
-    settled = lookup_join(labels, survivors, ["component"])
-    return settled.select(F.col("id").alias(KEY), F.coalesce("__guid", "component").alias(GUID))
+    with keeping_only(previous.sparkSession) as stored:
+        vertices, edges = _day_graph(logs, more_than, key)
+        links = previous.select(F.col(KEY).alias("src"), F.col(GUID).alias("dst"))
+        old_ids = previous.select(F.col(KEY).alias("id"))
+        labels = connected_components(edges.unionByName(links), vertices.unionByName(old_ids))
+        known = labels.join(
+            previous.select(F.col(KEY).alias("id"), F.col(GUID).alias("__old")), "id"
+        )
+        survivors = materialize(
+            known.groupBy("component").agg(F.min("__old").alias("__guid")), "survivors"
+        )
+        settled = lookup_join(labels, survivors, ["component"]).select(
+            F.col("id").alias(KEY), F.coalesce("__guid", "component").alias(GUID)
+        )
+        stored.append(materialize(settled, "dictionary"))
+    return stored[0]
 
 
 def tag_rows_with_guid(
     lines: DataFrame,
     text: str = "value",
     id_fields: Sequence[int] | None = None,
-    key: Callable[[Column], Column] = java_hash,
+    key: Callable[[Column], Column] = wide_key,
     on_missing: str = "fail",
 ) -> DataFrame:
     """Prefix every raw line with the person id of its first nonblank identifier.
@@ -114,8 +118,10 @@ def tag_rows_with_guid(
     if id_fields is not None:
         fields = F.array(*[F.get(fields, F.lit(i)) for i in id_fields])
     rows = lines.withColumn("fields", nonblank_items(fields))
-    vertices = id_vertices(rows, "fields", key).select("id").distinct()
-    labels = materialize(connected_components(chain_edges(rows, key=key), vertices), "labels")
+    with keeping_only(lines.sparkSession) as kept:
+        vertices, edges = chain_vertices_and_edges(rows, key=key)
+        labels = connected_components(edges, vertices)
+        kept.append(labels)
     tagged = lookup_join(
         rows.withColumn("id", key(first_nonblank("fields"))), labels, ["id"]
     )

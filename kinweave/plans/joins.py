@@ -4,8 +4,8 @@ Three physical ways, chosen by measured size:
 
 * the table is small: broadcast it, and the big side is not shuffled at all;
 * otherwise shuffle both sides on the key;
-* keys that fill more than a task on the big side leave the shuffle: their few dictionary
-  rows are broadcast to where the hot rows already are.
+* keys that fill more than a task on the big side are spread over salts, and their few
+  dictionary rows are repeated for each of them.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.plans.storage import materialize
+from kinweave.plans.storage import discard, materialize
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -64,33 +64,45 @@ def shuffled_lookup(
 ) -> DataFrame:
     """The lookup for a table of any size; hot keys of ``left`` never meet in one task.
 
-    A sample finds the hot keys. It decides only by which way a row is joined, so a key
-    it misjudges is joined all the same.
+    A sample of the keys finds the hot ones. Their rows get a salt from the hash of the
+    whole row and their dictionary rows are repeated for every salt, so one pass and one
+    shuffle of ``left`` serve all keys. The sample decides only how far a key is spread:
+    a key it misjudges is joined all the same.
     """
     on = list(on)
-    left_rows = left.count() if left_rows is None else left_rows
-    if left_rows <= rows_per_task:
+    if left_rows is not None and left_rows <= rows_per_task:
         return left.join(right, on, "left")
 
-    task = max(rows_per_task, -(-left_rows // MAX_HOT_KEYS))
-    fraction = min(1.0, _SAMPLES_PER_TASK / task)
+    fraction = min(1.0, _SAMPLES_PER_TASK / rows_per_task)
+    names = {k: f"__hot_{k}" for k in on}
+    # Beyond the limit a key is no longer spread, which bounds what is broadcast in rows.
     hot = materialize(
         left.select(*on)
         .sample(fraction, seed=23)
         .groupBy(*on)
         .count()
-        .where(F.col("count") > task * fraction / 2)
-        .select(*[F.col(k).alias(f"__hot_{k}") for k in on]),
+        .where(F.col("count") > rows_per_task * fraction / 2)
+        .orderBy(F.desc("count"))
+        .limit(MAX_HOT_KEYS)
+        .select(
+            *[F.col(k).alias(n) for k, n in names.items()],
+            F.ceil(F.col("count") / F.lit(rows_per_task * fraction / 2)).cast("int").alias("__salts"),
+        ),
         "hot_keys",
     )
-    if hot.isEmpty():
+    # Long keys could still make the broadcast large; the adaptive join is left with them.
+    if hot.isEmpty() or not fits_broadcast(hot, MAX_HOT_KEYS):
+        discard(hot)
         return left.join(right, on, "left")
-
     is_hot = F.lit(True)
-    for k in on:
-        is_hot = is_hot & F.col(k).eqNullSafe(F.col(f"__hot_{k}"))
-    hot = F.broadcast(hot)
-    hot_right = right.join(hot, is_hot, "left_semi")
-    near = left.join(hot, is_hot, "left_semi").join(F.broadcast(hot_right), on, "left")
-    rest = left.join(hot, is_hot, "left_anti").join(right, on, "left")
-    return near.unionByName(rest)
+    for k, n in names.items():
+        is_hot = is_hot & F.col(k).eqNullSafe(F.col(n))
+    hashable = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
+    spread = left.join(F.broadcast(hot), is_hot, "left").withColumn(
+        "__salt", F.coalesce(F.pmod(F.xxhash64(*hashable), F.col("__salts")).cast("int"), F.lit(0))
+    )
+    repeated = right.join(F.broadcast(hot), is_hot, "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    )
+    gone = [*names.values(), "__salts"]
+    return spread.drop(*gone).join(repeated.drop(*gone), [*on, "__salt"], "left").drop("__salt")

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+# Paths of tables that this process stored and nobody has deleted yet.
+_live: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,19 +46,61 @@ def checkpoint_read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Run ``df`` once into shared storage and return the stored table."""
+    """Run ``df`` once into shared storage and return the stored table.
+
+    Whoever stores a table discards it when nothing reads it any more. What a returned
+    DataFrame still reads is deleted by ``scratch_scope`` or ``clear_scratch``.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _live.add(path)
     checkpoint_write(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table that ``materialize`` returned."""
-    spark = df.sparkSession
-    root = shared_dir(spark) + "/kinweave/"
+def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if root in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+    _live.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables that ``materialize`` returned."""
+    for df in tables:
+        path = df.__dict__.get("_stored_at")
+        if path in _live:
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def keeping_only(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete on leaving what was stored inside, but for the tables put into the list."""
+    before, kept = set(_live), []
+    try:
+        yield kept
+    finally:
+        wanted = {df.__dict__.get("_stored_at") for df in kept}
+        for path in _live - before - wanted:
+            _delete(spark, path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete every table stored so far; DataFrames that read one can no longer be run."""
+    paths = list(_live)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was stored inside: use the results before that."""
+    before = set(_live)
+    try:
+        yield
+    finally:
+        for path in _live - before:
+            _delete(spark, path)

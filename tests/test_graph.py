@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from kinweave import operators as op
+from kinweave.operators import graph
 
 
 def _union_find(edges, vertices):
@@ -64,6 +65,35 @@ def test_components_of_small_shapes(spark):
     assert _components(spark, edges, [900, 5]) == _union_find(edges, [900, 5])
 
 
+def test_null_ends_drop_the_edge_and_keep_the_vertex(spark):
+    assert _components(spark, [(None, 5), (7, None), (None, None), (1, 2)], [None, 9]) == [
+        (1, 1), (2, 1), (5, 5), (7, 7), (9, 9),
+    ]
+
+
+def test_components_of_texts(spark):
+    edges = spark.createDataFrame([("b", "c"), ("c", "a"), ("x", "y"), (None, "z")], "src string, dst string")
+    assert rows(op.connected_components(edges)) == [
+        ("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "z"),
+    ]
+
+
+def test_a_row_of_too_many_identifiers_fails(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_IDS_PER_ROW", 3)
+    df = spark.createDataFrame([(["a", "b", "c"],)], "ids array<string>")
+    assert op.pair_edges(df).count() == 3
+    with pytest.raises(Exception, match="too many identifiers"):
+        op.pair_edges(df.select(F.concat("ids", "ids").alias("ids"))).collect()
+
+
+def test_one_pass_gives_the_chain(spark):
+    df = spark.createDataFrame(
+        [(["a", " ", "b", None, "c"],), (["x", ""],), (["a"],), ([],)], "fields array<string>"
+    )
+    vertices, edges = op.chain_vertices_and_edges(df, key=lambda c: c)
+    assert rows(vertices) == [("a",), ("c",), ("x",)] and rows(edges) == [("a", "b"), ("b", "c")]
+
+
 def test_components_without_edges(spark):
     assert _components(spark, [], [3, 1]) == [(1, 1), (3, 3)]
 

@@ -1,11 +1,12 @@
 import json
+from pathlib import Path
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from kinweave import operators as op
 from kinweave.functions import java_hash
+from kinweave.plans import storage
 
 
 def _hash(text):
@@ -23,6 +24,7 @@ def _log(spark, lines):
     return op.extract_ids(spark.createDataFrame([(x,) for x in lines], "value string"))
 
 
+# The rows whose published ids the next test has to meet.
 PEOPLE = [
     "13866778899,刘德华,wx_hz,2000",
     "13877669988,华仔,wx_hz,3000",
@@ -36,7 +38,7 @@ PEOPLE = [
 @pytest.mark.parametrize("id_fields", [None, [0, 1, 2]])
 def test_rows_are_tagged_with_the_published_ids(spark, id_fields):
     lines = spark.createDataFrame([(x,) for x in PEOPLE], "value string")
-    got = rows(op.tag_rows_with_guid(lines, id_fields=id_fields))
+    got = rows(op.tag_rows_with_guid(lines, id_fields=id_fields, key=java_hash))
     first, second = "-1485777898,", "-1095633001,"
     want = [first + x for x in PEOPLE[:3]] + [second + x for x in PEOPLE[3:]]
     assert [r[0] for r in got] == sorted(want, key=lambda x: repr((x,)))
@@ -46,7 +48,7 @@ def test_a_row_without_identifier_fails_or_is_kept(spark):
     lines = spark.createDataFrame([("a,b",), (" ,",)], "value string")
     with pytest.raises(Exception, match="no identifier"):
         op.tag_rows_with_guid(lines).collect()
-    kept = op.tag_rows_with_guid(lines, on_missing="keep")
+    kept = op.tag_rows_with_guid(lines, on_missing="keep", key=java_hash)
     assert rows(kept) == [("97,a,b",), ("null, ,",)]
 
 
@@ -81,7 +83,7 @@ def _groups(df, names):
 
 def test_id_mapping_links_only_frequent_pairs(day_one):
     names = ["ann", "a1", "bob", "b1", "b2", "cat", "c1", "dan"]
-    got = _groups(op.id_mapping(day_one), names)
+    got = _groups(op.id_mapping(day_one, key=java_hash), names)
     assert set(got) == set(names)
     assert got["ann"] == got["a1"] == min(_hash("ann"), _hash("a1"))
     assert got["bob"] == got["b1"] == got["b2"] == min(_hash(x) for x in ("bob", "b1", "b2"))
@@ -90,13 +92,13 @@ def test_id_mapping_links_only_frequent_pairs(day_one):
 
 
 def test_id_mapping_with_a_wide_key(day_one):
-    got = op.id_mapping(day_one, key=F.xxhash64)
+    got = op.id_mapping(day_one)
     assert got.count() == 8
     assert got.select("guid").distinct().count() == 5
 
 
 def test_id_mapping_lower_threshold(day_one):
-    got = _groups(op.id_mapping(day_one, more_than=1), ["cat", "c1"])
+    got = _groups(op.id_mapping(day_one, more_than=1, key=java_hash), ["cat", "c1"])
     assert got["cat"] == got["c1"]
 
 
@@ -117,7 +119,7 @@ def test_rolling_mapping_keeps_old_persons(spark):
     )
     logs = [_log(spark, today)]
     got = _groups(
-        op.id_mapping_rolling(logs, previous),
+        op.id_mapping_rolling(logs, previous, key=java_hash),
         ["p1", "p2", "p9", "q1", "q2", "r1", "n1", "n2"],
     )
     assert got["p1"] == got["p2"] == got["p9"] == key("p2")
@@ -129,11 +131,38 @@ def test_rolling_mapping_keeps_old_persons(spark):
 
 def test_rolling_mapping_adds_a_guid_that_is_no_identifier(spark):
     previous = spark.createDataFrame([(1, 77), (2, 77)], "biaoshi_hashcode bigint, guid bigint")
-    got = op.id_mapping_rolling([_log(spark, [_line("z")])], previous)
+    got = op.id_mapping_rolling([_log(spark, [_line("z")])], previous, key=java_hash)
     assert sorted(map(tuple, got.collect())) == [(1, 77), (2, 77), (77, 77), (122, 122)]
 
 
 def test_vertices_carry_hash_and_text(spark):
     df = spark.createDataFrame([(["a", "b"],), (["a"],)], "ids array<string>")
-    assert rows(op.id_vertices(df)) == [(97, "a"), (97, "a"), (98, "b")]
-    assert rows(op.id_vertices(df, key=java_hash)) == rows(op.id_vertices(df))
+    assert rows(op.id_vertices(df, key=java_hash)) == [(97, "a"), (97, "a"), (98, "b")]
+    assert [r.value for r in op.id_vertices(df).collect()] == ["a", "b", "a"]
+
+
+@pytest.mark.parametrize("key", [None, lambda c: c])
+def test_strangers_with_one_32_bit_hash_stay_two_people(spark, key):
+    log = _log(spark, [_line("Aa", imei="x")] * 3 + [_line("BB", imei="y")] * 3)
+    options = {} if key is None else {"key": key}
+    assert op.id_mapping([log], **options).select("guid").distinct().count() == 2
+    assert op.id_mapping([log], key=java_hash).select("guid").distinct().count() == 1
+    if key is not None:
+        assert rows(op.id_mapping([log], key=key)) == [("Aa", "Aa"), ("BB", "BB"), ("x", "Aa"), ("y", "BB")]
+
+
+def test_storage_holds_only_the_result_and_then_nothing(spark):
+    previous = spark.createDataFrame([(1, 77)], "biaoshi_hashcode bigint, guid bigint")
+    storage.clear_scratch(spark)
+    folder = Path(storage.shared_dir(spark), "kinweave")
+    kept = {p.name for p in folder.glob("*")} if folder.exists() else set()
+    logs = [_log(spark, [_line("p", imei="q")] * 3)]
+    got = op.id_mapping_rolling(logs, previous)
+    assert got.count() == 4
+    assert len({p.name for p in folder.iterdir()} - kept) == 1
+    storage.clear_scratch(spark)
+    assert {p.name for p in folder.iterdir()} == kept
+    with storage.scratch_scope(spark):
+        assert op.id_mapping(logs).count() == 2
+        assert len({p.name for p in folder.iterdir()} - kept) == 1
+    assert {p.name for p in folder.iterdir()} == kept

@@ -7,17 +7,18 @@ from kinweave import sources as src
 
 def test_word_count(spark):
     lines = [
-        "hello one hello two hello three  cat  cat",
-        "hello spark  hello flink dog dog pig pig",
-        "flink hello spark hadoop hive hbase hive hive",
+        "red fish blue fish",
+        " leading blank",
+        "two  blanks\tand a tab ",
         "",
-        " ",
+        "   ",
+        "fish\x0bred",
     ]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     got = dict(rows(op.word_count(df)))
     assert got == {
-        "hello": 6, "hive": 3, "cat": 2, "dog": 2, "pig": 2, "spark": 2, "flink": 2,
-        "one": 1, "two": 1, "three": 1, "hadoop": 1, "hbase": 1, "": 1,
+        "red": 2, "fish": 3, "blue": 1, "leading": 1, "blank": 1, "two": 1, "blanks": 1,
+        "and": 1, "a": 1, "tab": 1, "": 2,
     }
 
 

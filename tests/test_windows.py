@@ -14,6 +14,7 @@ def _days(spark, pairs):
 
 
 def test_day_streaks(spark):
+    # The rows whose streaks have to match.
     days = [
         ("guid01", d)
         for d in ("2018-02-28", "2018-03-01", "2018-03-02", "2018-03-05", "2018-03-04",
@@ -34,24 +35,25 @@ def test_day_streaks_over_leap_day_and_new_year(spark):
     assert [(n, str(a)) for _, n, a, _ in rows(got)] == [(2, "2019-12-31"), (3, "2020-02-28")]
 
 
+# The rows whose sessions have to match.
+FLOWS = [
+    (1, "2020-02-18 14:20:30", "2020-02-18 14:46:30", 20),
+    (1, "2020-02-18 14:47:20", "2020-02-18 15:20:30", 30),
+    (1, "2020-02-18 15:37:23", "2020-02-18 16:05:26", 40),
+    (1, "2020-02-18 16:06:27", "2020-02-18 17:20:49", 50),
+    (1, "2020-02-18 17:21:50", "2020-02-18 18:03:27", 60),
+    (2, "2020-02-18 14:18:24", "2020-02-18 15:01:40", 20),
+    (2, "2020-02-18 15:20:49", "2020-02-18 15:30:24", 30),
+    (2, "2020-02-18 16:01:23", "2020-02-18 16:40:32", 40),
+    (2, "2020-02-18 16:44:56", "2020-02-18 17:40:52", 50),
+    (3, "2020-02-18 14:39:58", "2020-02-18 15:35:53", 20),
+    (3, "2020-02-18 15:36:39", "2020-02-18 15:24:54", 30),
+]
+
+
 @pytest.fixture(scope="module")
 def flows(spark):
-    lines = """1,14:20:30,14:46:30,20
-1,14:47:20,15:20:30,30
-1,15:37:23,16:05:26,40
-1,16:06:27,17:20:49,50
-1,17:21:50,18:03:27,60
-2,14:18:24,15:01:40,20
-2,15:20:49,15:30:24,30
-2,16:01:23,16:40:32,40
-2,16:44:56,17:40:52,50
-3,14:39:58,15:35:53,20
-3,15:36:39,15:24:54,30"""
-    data = []
-    for line in lines.splitlines():
-        uid, start, end, flow = line.split(",")
-        data.append((int(uid), f"2020-02-18 {start}", f"2020-02-18 {end}", int(flow)))
-    df = spark.createDataFrame(data, "uid int, start string, end string, flow int")
+    df = spark.createDataFrame(FLOWS, "uid int, start string, end string, flow int")
     return df.withColumns({c: F.to_timestamp(c) for c in ("start", "end")})
 
 
