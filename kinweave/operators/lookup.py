@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from kinweave.functions.scalars import comma_fields, count_at_most
 from kinweave.operators.windows import row_position
 from kinweave.plans.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
-from kinweave.plans.slices import ONE_TASK_ROWS, ROWS_PER_SLICE, constant_arrays, slice_rows
+from kinweave.plans.slices import ROWS_PER_SLICE, constant_arrays, slice_rows
 
 # A BETWEEN join compares every row with every interval; measured, it loses to the binary
 # search well before 1,000 intervals.
@@ -192,7 +192,7 @@ def range_lookup_merged(
     end: str,
     payload: Sequence[str],
     rows_per_slice: int = ROWS_PER_SLICE,
-    one_task_rows: int = ONE_TASK_ROWS,
+    one_task_rows: int | None = None,
 ) -> DataFrame:
     """The same lookup when neither side is small: values and starts in one sorted sequence.
 

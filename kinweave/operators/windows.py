@@ -1,7 +1,7 @@
 """Streaks, running totals, gaps and gap sessions over ordered rows.
 
 All of them stay distributed when one key holds a large part of the rows; see
-``kinweave.plans.slices``. Orders should be unique within a key.
+``kinweave.plans.slices``. Rows tied in an order come in a fixed but arbitrary order.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.scalars import within_seconds
-from kinweave.plans.slices import ROWS_PER_SLICE, SLICE, SlicedRows, slice_rows
+from kinweave.plans.slices import ROWS_PER_SLICE, SLICE, TIE, SlicedRows, slice_rows
 from kinweave.plans.storage import materialize
 
 
@@ -43,7 +43,7 @@ def running_total(
         F.col(name).isNotNull() | F.col("__sum").isNotNull(),
         F.coalesce(F.col(name), zero) + F.coalesce(F.col("__sum"), zero),
     )
-    return carried.withColumn(name, total).drop(SLICE, "__sum")
+    return carried.withColumn(name, total).drop(SLICE, TIE, "__sum")
 
 
 def row_position(
@@ -83,7 +83,7 @@ def previous_row(
 ) -> DataFrame:
     """Add a struct of the previous row's columns; null on the first row of a key."""
     sliced = slice_rows(df, order, keys, rows_per_slice)
-    return _with_previous(sliced, columns, name).drop(SLICE)
+    return _with_previous(sliced, columns, name).drop(SLICE, TIE)
 
 
 def within_gap(

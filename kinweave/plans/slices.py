@@ -18,16 +18,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.functions.scalars import count_at_most
 
 ROWS_PER_SLICE = 1_000_000
 SAMPLES_PER_SLICE = 20
 MAX_SLICES = 50_000
-# At most so many rows may be ordered in one task where there is no key at all.
-ONE_TASK_ROWS = 10_000
+# At most so many rows may be ordered in one task where there is no key at all: a slice.
+ONE_TASK_ROWS = ROWS_PER_SLICE
+# Cut points pass through the driver; of long ones fewer are kept, so slices grow instead.
+MAX_CUT_BYTES = 8 * 1024 * 1024
 
-SLICE = "__slice"
+SLICE, TIE = "__slice", "__tie"
 _POINT = "__point"
 _MICROS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -115,7 +118,16 @@ class SlicedRows:
             *[combine(name, earlier).alias(name) for name in partial],
         )
         match = _all_equal(names)
-        return local.join(F.broadcast(carry), match, "left").drop(*names.values())
+        # Rows are bounded, so without values of any length the bytes are as well.
+        fixed = all(_fixed_width(f.dataType) for f in carry.schema)
+        carry = F.broadcast(carry) if fixed else carry
+        return local.join(carry, match, "left").drop(*names.values())
+
+
+def _fixed_width(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_fixed_width(f.dataType) for f in kind)
+    return not isinstance(kind, T.StringType | T.BinaryType | T.ArrayType | T.MapType)
 
 
 def _all_equal(names: dict[str, str]) -> Column:
@@ -131,16 +143,18 @@ def slice_rows(
     order: Sequence[str],
     keys: Sequence[str] = (),
     rows_per_slice: int = ROWS_PER_SLICE,
-    one_task_rows: int = ONE_TASK_ROWS,
+    one_task_rows: int | None = None,
 ) -> SlicedRows:
     """Cut hot keys into slices along ``order`` (ascending, nulls first).
 
-    ``order`` should be unique within a key: tied rows share a slice. Without keys all rows
-    form one sequence, which is then cut into at least one slice per shuffle partition.
-    ``df`` is read more than once and must give the same rows each time.
+    Tied rows that would fill more than a slice are told apart by the hash of the whole row;
+    only rows equal in every column then share a slice. Without keys all rows form one
+    sequence, which is then cut into at least one slice per shuffle partition. ``df`` is
+    read more than once and must give the same rows each time.
     """
     keys = list(keys)
     order = [c for c in order if c not in keys]
+    one_task_rows = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
     total = df.count()
     if keys and total <= rows_per_slice or not keys and total <= one_task_rows:
         return SlicedRows(df, keys, order, split=False)
@@ -151,19 +165,43 @@ def slice_rows(
 
     fraction = min(1.0, SAMPLES_PER_SLICE / rows_per_slice)
     step = max(1, round(rows_per_slice * fraction))
-    # A lone column is compared as it is, which is quicker; its nulls fall into slice 0.
-    point = F.struct(*keys, *order) if keys or len(order) > 1 else F.col(order[0])
-    sample = df.select(*keys, point.alias(_POINT)).sample(fraction, seed=17)
-    # The sample has about SAMPLES_PER_SLICE * MAX_SLICES rows at most; every step-th of a
-    # key is a cut point, so a key without much data has none.
+    cuts, number, tied = _cut_points(df, keys, order, fraction, step)
+    if tied:
+        hashable = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+        df = df.withColumn(TIE, F.xxhash64(*hashable))
+        order = [*order, TIE]
+        cuts, number, _ = _cut_points(df, keys, order, fraction, step)
+    if number == 0:
+        return SlicedRows(df, keys, order, split=False)
+    rows = df.withColumn(SLICE, count_at_most(cuts, _point(keys, order), number))
+    return SlicedRows(rows, keys, order, split=True, cuts=cuts)
+
+
+def _point(keys: list[str], order: list[str]) -> Column:
+    """A lone column is compared as it is, which is quicker; its nulls fall into slice 0."""
+    return F.struct(*keys, *order) if keys or len(order) > 1 else F.col(order[0])
+
+
+def _cut_points(
+    df: DataFrame, keys: list[str], order: list[str], fraction: float, step: int
+) -> tuple[Column, int, bool]:
+    """The sorted cut points, their number, and whether one point was to be cut at twice.
+
+    The sample has about SAMPLES_PER_SLICE * MAX_SLICES rows at most; every step-th of a
+    key is a cut point, so a key without much data has none.
+    """
+    sample = df.select(*keys, _point(keys, order).alias(_POINT)).sample(fraction, seed=17)
     in_key = Window.partitionBy(*keys).orderBy(_POINT)
     chosen = (
         sample.withColumn("__n", F.row_number().over(in_key))
         .where(F.col("__n") % step == 0)
-        .agg(F.array_sort(F.collect_set(_POINT)).alias("cuts"))
+        .agg(F.array_sort(F.collect_set(_POINT)).alias("all"), F.count(F.lit(1)).alias("n"))
     )
-    [(cuts, number)] = constant_arrays(chosen, "cuts")
-    if number == 0:
-        return SlicedRows(df, keys, order, split=False)
-    rows = df.withColumn(SLICE, count_at_most(cuts, point, number))
-    return SlicedRows(rows, keys, order, split=True, cuts=cuts)
+    # As many marks as cut points were lost because they fell together.
+    lost = F.array_repeat(F.lit(1), (F.col("n") - F.size("all")).cast("int"))
+    every = F.greatest(F.ceil(F.octet_length(F.to_json("all")) / F.lit(MAX_CUT_BYTES)), F.lit(1))
+    kept = F.filter("all", lambda c, i: i % every == 0)
+    [(cuts, number), (_, ties)] = constant_arrays(
+        chosen.select(kept.alias("cuts"), lost.alias("lost")), "cuts", "lost"
+    )
+    return cuts, number, ties > 0

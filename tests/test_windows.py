@@ -127,7 +127,8 @@ def test_sliced_running_total_is_the_window_total(skewed, keys, rows_per_slice,
     assert rows(got, "id", "running_total") == rows(want)
 
 
-def test_sliced_global_total_has_no_single_partition(skewed):
+def test_sliced_global_total_has_no_single_partition(skewed, monkeypatch):
+    monkeypatch.setattr("kinweave.plans.slices.ONE_TASK_ROWS", 0)
     many = skewed.sparkSession.range(20_000).withColumn("v", F.lit(1))
     got = op.running_total(many, "v", ["id"])
     plan = got._jdf.queryExecution().executedPlan().toString()
@@ -149,6 +150,30 @@ def test_sliced_gap_flags_and_sessions_equal_the_plain_ones(skewed, rows_per_sli
         assert rows(split, *columns) == rows(plain, *columns)
 
 
+def test_tied_rows_are_cut_too(spark):
+    data = [(i, 7 if i % 3 == 0 else i, i % 5) for i in range(3000)]
+    df = spark.createDataFrame(data, "id int, at int, v int")
+    sliced = slice_rows(df, ["at"], rows_per_slice=100, one_task_rows=0)
+    assert max(r["count"] for r in sliced.rows.groupBy("__slice").count().collect()) <= 200
+    keyed = slice_rows(df.withColumn("k", F.lit(1)), ["at"], ["k"], rows_per_slice=100)
+    assert max(r["count"] for r in keyed.rows.groupBy("__slice").count().collect()) <= 200
+    total = op.running_total(df.withColumn("k", F.lit(1)), "v", ["at"], ["k"], rows_per_slice=100)
+    assert total.columns == ["id", "at", "v", "k", "running_total"]
+    last = total.agg(F.max("running_total"), F.count("*")).first()
+    assert tuple(last) == (sum(r[2] for r in data), 3000)
+    steps = rows(total.where("v > 0"), "running_total")
+    assert len({r[0] for r in steps}) == len(steps)  # no two rows share a sum
+
+
+def test_long_cut_points_become_fewer(spark, monkeypatch):
+    df = spark.range(2000).select("id", F.format_string("%0200d", "id").alias("at"))
+    many = slice_rows(df, ["at"], rows_per_slice=50, one_task_rows=0)
+    monkeypatch.setattr("kinweave.plans.slices.MAX_CUT_BYTES", 1000)
+    few = slice_rows(df, ["at"], rows_per_slice=50, one_task_rows=0)
+    count = lambda s: s.rows.select("__slice").distinct().count()
+    assert 1 < count(few) < count(many) / 4
+
+
 def test_row_position_starts_at_zero(skewed):
     got = op.row_position(skewed, ["at", "id"], rows_per_slice=50)
     want = skewed.select("id", F.row_number().over(Window.orderBy("at", "id")) - 1)
