@@ -12,20 +12,18 @@ that has them. All work is linear in the words; no shard has to see another's wi
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.fm_index import FMIndex
-from kinweave.llm.text import gram_hashes, hashes, words_of
-from kinweave.plans.storage import materialize
+from kinweave.llm.text import gram_hashes, hashes, mixed, words_of
+from kinweave.plans.storage import discard, materialize
 
 WIDTH = 13
 GRAM = 5
@@ -114,32 +112,68 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+# An odd multiplier and its inverse modulo 2 ** 64.
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+def span_hashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of stretches of words, as two BIGINTs, from the hashes of the words.
+
+    Polynomials modulo 2 ** 64 by prefix sums, so each stretch takes constant time.
+    """
+    up, down = _powers(_BASE, len(h) + 1), _powers(_INVERSE, len(h) + 1)
+    out = []
+    for words in (h, mixed(h ^ np.uint64(0x2545F4914F6CDD1D))):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:-1], dtype=np.uint64)])
+        span = (sums[first + size] - sums[first]) * down[first]
+        out.append(mixed(span ^ size.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
 def _candidate_segments(with_text: bool):
     """Segments under repeated anchors: their 128-bit hash with either their words or place."""
+    names = ["x", "y", "doc", "anchor", "content"] if with_text else ["x", "y", "doc", "row", "first"]
+
+    def rows_of(some: pa.RecordBatch, unpack: zstandard.ZstdDecompressor) -> pa.RecordBatch:
+        columns: list[list[np.ndarray]] = [[] for _ in range(4)]
+        contents = []
+        for doc, row, packed, wanted in zip(
+            *[some.column(n).to_pylist() for n in ("doc_id", "row", "packed", "anchors")], strict=True
+        ):
+            words = _words(packed, unpack)
+            h = hashes(words)
+            anchors, first, count = segments(h)
+            kept = np.flatnonzero(np.isin(anchors.view(np.int64), np.array(wanted, np.int64)))
+            first, size = first[kept], count[kept] + WIDTH - 1
+            x, y = span_hashes(h, first, size)
+            if with_text:
+                for i, n in zip(first.tolist(), size.tolist(), strict=True):
+                    contents.append(b" ".join(words[i : i + n]))
+            fields = (x, y, np.full(len(x), doc), anchors[kept].view(np.int64) if with_text else np.full(len(x), row))
+            for column, values in zip(columns, fields, strict=True):
+                column.append(values)
+            if not with_text:
+                contents.append(first)
+        last = (
+            pa.array(contents, pa.binary())
+            if with_text
+            else pa.array(np.concatenate(contents) if contents else np.empty(0, np.int64), pa.int64())
+        )
+        numbers = [pa.array(np.concatenate(c), pa.int64()) for c in columns]
+        return pa.RecordBatch.from_arrays([*numbers, last], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for some in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                out = []
-                for doc, row, packed, wanted in zip(
-                    *[some.column(n).to_pylist() for n in ("doc_id", "row", "packed", "anchors")], strict=True
-                ):
-                    words = _words(packed, unpack)
-                    anchors, first, count = segments(hashes(words))
-                    kept = np.flatnonzero(np.isin(anchors.view(np.int64), np.array(wanted, np.int64)))
-                    for a, i, n in zip(
-                        anchors[kept].view(np.int64).tolist(), first[kept].tolist(), count[kept].tolist(), strict=True
-                    ):
-                        content = b" ".join(words[i : i + n + WIDTH - 1])
-                        x, y = struct.unpack("<qq", xxhash.xxh3_128_digest(content))
-                        out.append((x, y, doc, a, content) if with_text else (x, y, doc, row, i))
-                names = ["x", "y", "doc", "anchor", "content"] if with_text else ["x", "y", "doc", "row", "first"]
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                kinds = [pa.int64()] * 4 + [pa.binary() if with_text else pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names
-                )
+            for i in range(0, batch.num_rows, 256):
+                yield rows_of(batch.slice(i, 256), unpack)
 
     return run
 
@@ -311,6 +345,7 @@ def repeated_windows(docs: DataFrame, keep_text: bool = False) -> tuple[DataFram
         "segments",
     )
     firsts = materialize(_first_documents(contents), "first_documents")
+    discard(contents)
     places = open_rows.mapInArrow(
         _candidate_segments(False), "x bigint, y bigint, doc bigint, row bigint, first bigint"
     )

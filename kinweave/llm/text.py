@@ -47,7 +47,8 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     total = np.zeros(count, np.uint64)
     for k in range(n):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + mixed(h[k : k + count] + np.uint64(k))
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += h[k : k + count]
     return mixed(total)
 
 

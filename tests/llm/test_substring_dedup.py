@@ -108,3 +108,13 @@ def test_query_equals_sql(spark):
     df = QUERIES["op4_substring_dedup"](spark, sf)
     got = sorted(tuple(r) for r in df.select(*[c[0] for c in duck.description]).collect())
     assert got == want and sum(r[2] for r in got) > 0
+
+
+def test_equal_stretches_have_equal_hashes():
+    h = np.random.default_rng(6).integers(0, 3, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    first = np.repeat(np.arange(0, 380), 4)
+    size = np.tile([13, 14, 17, 20], 380)
+    seen = {}
+    for x, y, i, n in zip(*op.span_hashes(h, first, size), first, size, strict=True):
+        assert seen.setdefault((x, y), h[i : i + n].tobytes()) == h[i : i + n].tobytes()
+    assert len(seen) == len({h[i : i + n].tobytes() for i, n in zip(first, size, strict=True)})
