@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.text import gram_hashes, hashes, mixed, words_of
 from kinweave.operators.graph import connected_components
 from kinweave.plans.joins import fits_broadcast
-from kinweave.plans.storage import materialize
+from kinweave.plans.storage import keeping_only, materialize
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -241,8 +241,16 @@ def near_duplicates(
     with the same set of shingles, n_links the number of other documents linked with this
     one, copies included. A text without words (null, empty) is linked with none and is its
     own class. Repeated rows and rows that share a doc_id are documents of their own. A
-    document without an id counts by the hash of its text where an id is asked for.
+    document without an id counts by the hash of its text where an id is asked for. The
+    result is stored, and nothing else is left in storage.
     """
+    with keeping_only(docs.sparkSession) as kept:
+        found = _find_duplicates(docs, threshold, recall, seats)
+        kept.append(materialize(found, "near_duplicates"))
+    return kept[0]
+
+
+def _find_duplicates(docs: DataFrame, threshold: float, recall: float, seats: int) -> DataFrame:
     signed = materialize(_signatures(docs, threshold, recall), "signatures")
     # A class of copies shrinks to one row per task before the shuffle.
     classes = materialize(
@@ -341,7 +349,7 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
 
     Texts without words have no duplicates. Of rows that agree in id and text one stays.
     """
-    found = materialize(near_duplicates(docs, **options), "near_duplicates")
+    found = near_duplicates(docs, **options)
     linked = found.where("n_links > 0")
     first = F.coalesce(F.col("doc_id").cast("bigint"), F.col("text_hash")) == F.col("class_id")
     kept = drop_rows(docs, linked.where(~first))
@@ -352,8 +360,8 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
         return kept
     single = drop_rows(kept, repeated)
     hashed = kept.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").eqNullSafe(F.col("__r")) & (F.col("__hash") == F.col("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
     others = hashed.join(
-        repeated.select(F.col("doc_id").alias("__r"), "text_hash"), same, "left_semi"
+        repeated.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")), same, "left_semi"
     )
     return single.unionByName(others.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
