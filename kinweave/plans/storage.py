@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
-# Paths of tables that this process stored and nobody has deleted yet.
+# Paths that this process has given out and nobody has deleted yet.
 _live: set[str] = set()
 
 
@@ -32,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/kinweave/{label}-{uuid.uuid4().hex}"
+    """A new path in shared storage; ``clear_scratch`` and ``scratch_scope`` delete it too."""
+    path = f"{shared_dir(spark)}/kinweave/{label}-{uuid.uuid4().hex}"
+    _live.add(path)
+    return path
 
 
 def checkpoint_write(df: DataFrame, path: str) -> None:
@@ -53,7 +56,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    _live.add(path)
     checkpoint_write(df, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
