@@ -29,6 +29,7 @@ MAX_WEIGHTS = 200_000
 BIAS = 0
 # A feature of fewer sample documents of a shard takes no part in the fit.
 MIN_DOCS = 6
+_BUCKET_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -62,15 +63,26 @@ def fit_shard(texts: list[str | None], labels: np.ndarray, opt: Ftrl) -> tuple[n
 
     Positives weigh as much as negatives in sum, at most threefold each.
     """
-    bags = [features(t) for t in texts]
+    # A first pass counts documents per bucket of hashes, an upper bound for each feature, so
+    # that the second keeps only what can reach MIN_DOCS and memory stays small.
+    shift = np.uint64(64 - _BUCKET_BITS)
+    crowd = np.zeros(1 << _BUCKET_BITS, np.uint16 if len(texts) < 1 << 16 else np.uint32)
+    for t in texts:
+        crowd[features(t) >> shift] += 1
+    bags = []
+    for t in texts:
+        bag = features(t)
+        bags.append(bag[crowd[bag >> shift] >= MIN_DOCS])
+    del crowd
     seen, counts = np.unique(np.concatenate(bags), return_counts=True)
     seen = np.concatenate([np.array([BIAS], np.uint64), seen[counts >= MIN_DOCS]])
     seen = np.unique(seen)
     rows = []
-    for bag in bags:
+    for k, bag in enumerate(bags):
         at = np.minimum(np.searchsorted(seen, bag), len(seen) - 1)
         kept = at[seen[at] == bag]
         rows.append(np.unique(np.append(kept, np.searchsorted(seen, np.uint64(BIAS)))))
+        bags[k] = None
     positives = max(1, int(labels.sum()))
     boost = min(3.0, max(1.0, (len(labels) - positives) / positives))
     z, n = np.zeros(len(seen)), np.zeros(len(seen))
