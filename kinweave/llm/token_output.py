@@ -35,7 +35,7 @@ IDS_PER_CHUNK = 1 << 17
 DOCS_PER_CHUNK = 4096
 END_ID = 2
 # Words whose ids a worker remembers; beyond that it starts afresh, which changes no result.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 _HEADER = struct.Struct("<4sBBHIQ")
 _MAGIC, _VERSION, _PLANES = b"PLNZ", 1, {"byte": 4, "bit": 32}
 
@@ -120,11 +120,19 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         plain, spans, pieces, rest = [], [0], [], []
         for word in words:
+            core, mark = (word[:-1], word[-1:]) if word[-1] in b".,;:!?" else (word, b"")
+            if core.isalpha():  # ASCII letters are one piece, a mark behind them another
+                pieces.append(core.lower().decode())
+                if mark:
+                    pieces.append(mark.decode())
+                plain.append(word)
+                spans.append(len(pieces))
+                continue
             w = word.decode()
             if self._PLAIN.fullmatch(w) and "<|" not in w:
                 cut = self._PIECES.findall(w.lower())
                 if not w.isascii():
-                    cut = ["".join(self.alphabet[b] for b in p.encode()) for p in cut]
+                    cut = [p.encode().decode("latin-1").translate(self.alphabet) for p in cut]
                 pieces += cut
                 plain.append(word)
                 spans.append(len(pieces))

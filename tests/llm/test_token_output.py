@@ -70,8 +70,8 @@ def test_documents_come_back_in_order(spark, tmp_path, full, unit):
     op.write_token_ids(docs, str(tmp_path / "ids"), PATH, unit, partitions=4)
     back = [r.asDict() for r in op.read_token_ids(spark, str(tmp_path / "ids")).collect()]
     back.sort(key=lambda r: r["start"])
-    keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in back]
-    assert keys == sorted(-1 if d[0] is None else d[0] for d in data)
+    keys = [-100 if r["doc_id"] is None else r["doc_id"] for r in back]
+    assert keys == sorted(-100 if d[0] is None else d[0] for d in data)
     at, left = 0, sorted((str(d), [*want_ids(full, t), 2]) for d, t, _ in data)
     for r in back:
         assert r["start"] == at and r["n_tokens"] == len(r["ids"])
