@@ -15,9 +15,19 @@ from kinweave.plans.storage import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Texts travel to Python in batches of at most so many rows, since one may be very long.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    spark.conf.set(name, str(BATCH_ROWS if rows <= 0 else min(BATCH_ROWS, rows)))
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; their rows stay as they are."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = with_scores(docs, labels, "__toxicity")
     return scored.where(scored["__toxicity"] < THRESHOLD).select(docs.columns)
@@ -25,6 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
+    bound_batches(spark)
     return one_of_each_class(docs).select(docs.columns)
 
 
@@ -42,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written as binary chunks, and their digests read back from these files."""
+    bound_batches(spark)
     return token_digests(spark, docs)
 
 
