@@ -23,7 +23,9 @@ MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of the words
 SYMBOLS = "#*$%&|<>"
 KEEP_FROM = 0.5
-MAX_BLAME = 0.002  # of the good texts, by any rule
+TRUSTED_BLAME = 0.002  # of the good texts, by a rule on which the votes are silent
+SEES_JUNK = 0.1  # of the junk that other rules agree on: from here votes measure a rule
+LARGEST_KIND = 0.25  # of the documents, junk that one rule alone sees
 GOOD, BAD, ABSTAIN = 1, 0, -1
 
 
@@ -120,20 +122,50 @@ def votes() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict:
+def agreement(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per rule, whether the votes measure it, and its blame where other rules agree.
+
+    The blame is taken among the documents that two other rules blame (30 documents without
+    blame are added, so a few coincidences measure nothing) and among those that two others
+    clear and none blames.
+    """
+    bad, active = patterns == BAD, patterns != ABSTAIN
+    others_bad = bad.sum(1)[:, None] - bad
+    others_clear = (active & ~bad).sum(1)[:, None] - (active & ~bad)
+    mass = counts[:, None] * active
+    junk, clean = mass * (others_bad >= 2), mass * ((others_bad == 0) & (others_clear >= 2))
+    on_junk = (junk * bad).sum(0) / (junk.sum(0) + 30)
+    on_clean = (clean * bad).sum(0) / (clean.sum(0) + 1)
+    measured = (on_junk >= SEES_JUNK) | (on_clean > LARGEST_KIND)
+    return measured, on_junk, on_clean
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 2000) -> dict:
     """EM for the share of good texts and for each rule's rate of blame in either class.
 
     ``patterns`` has a row of votes per pattern, ``counts`` how many documents show it.
-    Rules are independent given the class and an abstention says nothing. Junk comes in
-    kinds, so a rule may miss most of the bad texts, but it is written to blame at most
-    MAX_BLAME of the good ones; that bound also settles which class is the good one. Half a
-    percent of the documents and one stand behind the starting rates as a prior.
+    Rules are independent given the class and an abstention says nothing. No rate is bounded;
+    each has a prior of so many documents, and agreement() says which:
+
+    - A measured rule starts from its blame where the others agree, with a weight of half a
+      percent of the documents, so it may turn out to blame any share of the good texts.
+    - Junk comes in kinds, so a rule may blame alone what no other rule sees. Votes cannot tell
+      that from a mistake. Such a rule is trusted: its prior is TRUSTED_BLAME of the good texts
+      with the weight of all documents, unless it would call more than LARGEST_KIND junk.
+
     Returns prior, rates (class, rule) and the posterior of each pattern.
     """
     bad, active = patterns == BAD, patterns != ABSTAIN
+    total = counts.sum()
+    measured, on_junk, on_clean = agreement(patterns, counts)
     prior = 0.8
-    rates = np.stack([np.full(patterns.shape[1], 0.25), np.full(patterns.shape[1], MAX_BLAME)])
-    weight = 0.005 * counts.sum() + 1
+    rates = np.stack([
+        np.where(measured & (on_junk > on_clean), on_junk, 0.25),
+        np.where(measured, on_clean, TRUSTED_BLAME),
+    ])
+    rates = np.clip(rates, 1e-4, 1 - 1e-4)
+    light = np.full(len(measured), 0.005 * total + 1)
+    weight = np.stack([light, np.where(measured, light, total + 1)])
     anchor = rates * weight
     posterior = np.full(len(counts), prior)
     for _ in range(rounds):
@@ -149,10 +181,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dic
             break
         for c, mass in ((1, posterior * counts), (0, (1 - posterior) * counts)):
             blamed = (bad * mass[:, None]).sum(0) + anchor[c]
-            voted = (active * mass[:, None]).sum(0) + weight
-            rates[c] = np.clip(blamed / voted, 1e-9, MAX_BLAME if c else 1 - 1e-9)
+            voted = (active * mass[:, None]).sum(0) + weight[c]
+            rates[c] = np.clip(blamed / voted, 1e-9, 1 - 1e-9)
         good = (posterior * counts).sum()
-        prior = float(np.clip((good + 1) / (counts.sum() + 2), 1e-6, 1 - 1e-6))
+        prior = float(np.clip((good + 1) / (total + 2), 1e-6, 1 - 1e-6))
     return {"prior": prior, "rates": rates, "posterior": posterior}
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,6 +41,52 @@ def test_estimate_finds_the_good_class():
     assert ((model["posterior"][at.ravel()] >= 0.5) == truth).mean() > 0.9
 
 
+def judged_patterns(votes):
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    model = op.estimate(patterns, counts.astype(float))
+    return model, model["posterior"][at.ravel()]
+
+
+def test_rules_that_err_in_a_tenth_of_the_texts():
+    rng = np.random.default_rng(5)
+    truth = rng.random(20_000) < 0.7
+    votes = np.where(rng.random((20_000, 5)) < 0.9, truth[:, None], ~truth[:, None]).astype(int)
+    votes[rng.random(votes.shape) < 0.3] = op.ABSTAIN
+    model, posterior = judged_patterns(votes)
+    assert abs(model["prior"] - 0.7) < 0.1
+    assert ((posterior >= 0.5) == truth).mean() > 0.9
+
+
+@pytest.mark.parametrize("share", [0.01, 0.03, 0.1, 0.33])
+def test_a_rule_that_blames_clean_texts_is_outvoted(share):
+    rng = np.random.default_rng(6)
+    truth = rng.random(100_000) < 0.97
+    blamed = rng.random((100_000, 6)) < np.where(truth, 0.001, 0.5)[:, None]
+    hot = truth & (rng.random(100_000) < share)
+    blamed[hot] = np.arange(6) == 2
+    model, posterior = judged_patterns(np.where(blamed, op.BAD, op.GOOD))
+    assert posterior[hot].min() >= 0.5 and abs(model["rates"][1][2] - share) < 0.01
+    assert (posterior[~truth] < 0.5).mean() > 0.8
+
+
+def test_a_third_blamed_by_a_rule_that_sees_no_other_junk():
+    votes = np.array([[1] * 6, [1, 1, 0, 1, 1, 1], [1, 1, 1, 1, 0, 0], [0, 0, 1, 1, 1, 1]])
+    for times in (1, 1_000):
+        posterior = op.estimate(votes, np.array([640.0, 330, 20, 10]) * times)["posterior"]
+        assert (posterior >= 0.5).tolist() == [True, True, False, False]
+
+
+def test_a_hot_source_keeps_its_documents(spark):
+    plain_text = " ".join(f"word{i} text" for i in range(60))
+    code = " ".join(f"value{i} |" for i in range(60)).replace("|", "|&")
+    junk = "wo*** " * 60
+    data = [(i, f"{plain_text} {i}") for i in range(600)]
+    data += [(i, f"{code} {i}") for i in range(1000, 1330)] + [(i, junk) for i in range(2000, 2040)]
+    rows = op.judge_quality(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert all(r.v_symbols == op.BAD for r in rows if 1000 <= r.doc_id < 1330)
+    assert {r.doc_id for r in rows if r.kept} == {*range(600), *range(1000, 1330)}
+
+
 def test_rows(spark):
     clean = " ".join(f"word{i} text" for i in range(60)) + "."
     junk = " ".join(f"wo{i}***" for i in range(60))
