@@ -1,16 +1,19 @@
 """License scans: winnowed fingerprints pick templates, banded alignment confirms them.
 
 Templates are few and short, and their fingerprints form an inverted index that travels with
-the task (its size is checked). A document shares a fingerprint with a template wherever both
-have FINGERPRINT + WINNOW - 1 words in a row in common. Hits on nearby diagonals become one
-candidate, and an alignment in a band around them reports how much of the template is there
-and where.
+the task (its size is checked). Templates of under SHORT words are indexed by every pair of
+neighbouring words, so a copy is found while one pair of its words is left. A document shares a
+fingerprint with a longer template wherever both have FINGERPRINT + WINNOW - 1 words in a row
+in common, which every copy has that lacks a fifth of the words, wherever they lie. Hits on
+nearby diagonals become one candidate, and an alignment in a band around them reports how much
+of the template is there and where. Hits up to a template's length apart are then chained, and
+an alignment without a band finds copies that long insertions or cuts tear apart.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -22,6 +25,8 @@ from kinweave.llm.text import gram_hashes, hashes, plain_words
 
 FINGERPRINT = 3  # words of a fingerprint
 WINNOW = 2  # neighbouring fingerprints of which the smallest is kept
+SHORT = 20  # template words; below, every pair of neighbours is a fingerprint
+LONG = 100  # template words; above, copies are aligned without a band only
 BAND = 8  # words by which a copy may drift from the template's course
 MIN_COVERAGE = 0.8  # matched share of the template's words
 MAX_INDEX_WORDS = 1_000_000
@@ -54,9 +59,9 @@ TEMPLATES = {
 _WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 
 
-def winnow(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen fingerprints and the word places where they begin."""
-    g = gram_hashes(hashes(words), FINGERPRINT)
+def winnow(words: list[bytes], h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Chosen fingerprints and the word places where they begin; ``h`` are the words' hashes."""
+    g = gram_hashes(hashes(words) if h is None else h, FINGERPRINT)
     if len(g) < WINNOW:
         return g, np.arange(len(g))
     rows = np.lib.stride_tricks.sliding_window_view(g, WINNOW)
@@ -73,35 +78,112 @@ class TemplateIndex:
             raise ValueError("too many template words for an index that every task holds")
         entries: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for name, words in self.words.items():
-            for g, at in zip(*map(np.ndarray.tolist, winnow(words)), strict=True):
-                entries[g].append((name, at))
+            if len(words) < SHORT:
+                g = gram_hashes(hashes(words), min(2, len(words)))
+                grams = zip(g.tolist(), range(len(g)), strict=True)
+            else:
+                grams = zip(*map(np.ndarray.tolist, winnow(words)), strict=True)
+            for x, at in grams:
+                entries[x].append((name, at))
+        self.sizes = {min(2, len(w)) for w in self.words.values() if len(w) < SHORT}
         self.entries = dict(entries)
         self.keys = np.array(sorted(self.entries), np.uint64)
+        self._masks: dict[str, tuple[dict[bytes, int], dict[bytes, int]]] = {}
 
-    def candidates(self, words: list[bytes]) -> list[tuple[str, int, int]]:
-        """(template, lowest diagonal, highest diagonal); diagonal = document - template place."""
-        g, at = winnow(words)
-        if len(g) == 0 or len(self.keys) == 0:
-            return []
-        near = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
-        hit = self.keys[near] == g
-        diagonals: dict[str, set[int]] = defaultdict(set)
-        for x, p in zip(g[hit].tolist(), at[hit].tolist(), strict=True):
-            for name, q in self.entries[x]:
-                diagonals[name].add(p - q)
-        found = []
-        for name, all_d in diagonals.items():
-            low = high = None
-            for d in sorted(all_d):
-                if high is not None and d - low <= BAND:
-                    high = d
-                else:
-                    if high is not None:
-                        found.append((name, low, high))
-                    low = high = d
-            found.append((name, low, high))
+    def hits(self, words: list[bytes]) -> dict[str, list[tuple[int, int]]]:
+        """Per template, the (document place, template place) of shared fingerprints."""
+        found: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        if not words or len(self.keys) == 0:
+            return found
+        h = hashes(words)
+        grams = [((g := gram_hashes(h, n)), np.arange(len(g))) for n in sorted(self.sizes)]
+        for g, at in [*grams, winnow(words, h)]:
+            near = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
+            hit = self.keys[near] == g
+            for x, p in zip(g[hit].tolist(), at[hit].tolist(), strict=True):
+                for name, q in self.entries[x]:
+                    found[name].append((p, q))
         return found
 
+    def masks(self, name: str) -> tuple[dict[bytes, int], dict[bytes, int]]:
+        """Bits of a word's places in the template, counted from its start and from its end."""
+        if name not in self._masks:
+            ahead: dict[bytes, int] = defaultdict(int)
+            back: dict[bytes, int] = defaultdict(int)
+            words = self.words[name]
+            for i, w in enumerate(words):
+                ahead[w] |= 1 << i
+                back[w] |= 1 << (len(words) - 1 - i)
+            self._masks[name] = dict(ahead), dict(back)
+        return self._masks[name]
+
+
+def bands(hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Lowest and highest diagonal (document - template place) of nearby hits."""
+    low = high = None
+    for d in sorted({p - q for p, q in hits}):
+        if high is not None and d - low <= BAND:
+            high = d
+        else:
+            if high is not None:
+                yield low, high
+            low = high = d
+    if high is not None:
+        yield low, high
+
+
+def chains(hits: list[tuple[int, int]], size: int, count: int) -> Iterator[tuple[int, int]]:
+    """Where a template of ``size`` words may lie around hits that belong together.
+
+    Between two hits the document may have as many words more than the template as the whole
+    template has.
+    """
+    gap = max(BAND, size) + FINGERPRINT + WINNOW
+    begin = stop = last = last_q = None
+    for p, q in sorted(hits):
+        if last is not None and p - last > gap + max(0, q - last_q):
+            yield max(0, begin), min(count, stop)
+            begin = stop = None
+        begin = p - q - BAND if begin is None else min(begin, p - q - BAND)
+        stop = p - q + size + BAND if stop is None else max(stop, p - q + size + BAND)
+        last, last_q = p, q
+    if last is not None:
+        yield max(0, begin), min(count, stop)
+
+
+def _matched(masks: dict[bytes, int], size: int, words: Iterator[bytes], enough: int) -> tuple[int, int]:
+    """Most template words in order among ``words``, and how many words were read for it.
+
+    A bit of ``open_`` is cleared per matched word, a whole column of the alignment at once.
+    """
+    full = open_ = (1 << size) - 1
+    best = reach = 0
+    for j, w in enumerate(words, 1):
+        mask = masks.get(w)
+        if mask:
+            used = open_ & mask
+            open_ = ((open_ + used) | (open_ - used)) & full
+            m = size - open_.bit_count()
+            if m > best:
+                best, reach = m, j
+                if m >= enough:
+                    break
+    return best, reach
+
+
+def align_anywhere(index: TemplateIndex, name: str, words: list[bytes]) -> tuple[int, int, int]:
+    """Most template words matched in order, without a band: (matched, first, end).
+
+    Of equal counts the one that ends first wins, from the last place it can begin at.
+    """
+    ahead, back = index.masks(name)
+    size = len(index.words[name])
+    matched, end = _matched(ahead, size, iter(words), size)
+    if not matched:
+        return 0, 0, 0
+    _, length = _matched(back, size, reversed(words[:end]), matched)
+    return matched, end - length, end
+
 
 def align(template: list[bytes], words: list[bytes], low: int, high: int) -> tuple[int, int, int]:
     """Most template words matched in order inside the band, and the words spanned.
@@ -147,6 +229,37 @@ def _matches(
             todo += [(a, first + a), (end + a, b)]
 
 
+def _torn_matches(
+    index: TemplateIndex, name: str, words: list[bytes], regions: Iterator[tuple[int, int]]
+) -> Iterator[tuple[int, int, int]]:
+    """(matched, first, end) of the copies in regions of the document, without a band."""
+    template = index.words[name]
+    least = MIN_COVERAGE * len(template)
+    has = Counter(template)
+    todo = list(regions)
+    while todo:
+        a, b = todo.pop()
+        if b - a < least or (Counter(words[a:b]) & has).total() < least:
+            continue
+        matched, first, end = align_anywhere(index, name, words[a:b])
+        if matched >= least:
+            yield matched, first + a, end + a
+            todo += [(a, first + a), (end + a, b)]
+
+
+def _free(begin: int, stop: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the sorted spans ``taken`` leave of begin..stop."""
+    for first, end in taken:
+        if first >= stop:
+            break
+        if end > begin:
+            if first > begin:
+                yield begin, first
+            begin = max(begin, end)
+    if begin < stop:
+        yield begin, stop
+
+
 def scan_text(text: str | None, index: TemplateIndex) -> list[tuple[str, int, float, int, int]]:
     """(template, matched words, coverage, start, end) in code points, by start.
 
@@ -154,11 +267,16 @@ def scan_text(text: str | None, index: TemplateIndex) -> list[tuple[str, int, fl
     """
     words = plain_words(text)
     matches = []
-    for name, low, high in index.candidates(words):
+    for name, hits in index.hits(words).items():
         template = index.words[name]
-        begin, stop = max(0, low - BAND), min(len(words), high + len(template) + BAND)
-        for matched, first, end in _matches(template, words, low, high, begin, stop):
-            matches.append((-matched / len(template), first, end, name, matched))
+        found = []
+        for low, high in bands(hits) if len(template) <= LONG else ():
+            begin, stop = max(0, low - BAND), min(len(words), high + len(template) + BAND)
+            found += _matches(template, words, low, high, begin, stop)
+        spans = sorted((first, end) for _, first, end in found)
+        for begin, stop in chains(hits, len(template), len(words)):
+            found += _torn_matches(index, name, words, _free(begin, stop, spans))
+        matches += [(-m / len(template), first, end, name, m) for m, first, end in found]
     if not matches:
         return []
     spans = [m.span() for m in _WORD.finditer(text)]

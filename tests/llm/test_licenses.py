@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -57,6 +58,45 @@ def test_edited_copies_are_found(name):
         assert name in {m[0] for m in op.scan_text(text, INDEX)}
 
 
+SHORT = [n for n, w in INDEX.words.items() if len(w) < 20]
+
+
+@pytest.mark.parametrize("name", SHORT)
+def test_short_notices_at_the_threshold_are_found(name):
+    template = INDEX.words[name]
+    for lost in itertools.combinations(range(len(template)), len(template) // 5):
+        for put in ([], [b"an"], [b"quite", b"another"]):
+            copy = [b"lead", b"in"]
+            for i, w in enumerate(template):
+                copy += put if i in lost else [w]
+            best = lcs(template, copy)
+            assert best >= op.MIN_COVERAGE * len(template)
+            text = b" ".join([*copy, b"and", b"on"]).decode()
+            assert (name, best) in {m[:2] for m in op.scan_text(text, INDEX)}
+
+
+@pytest.mark.parametrize("name", [n for n in op.TEMPLATES if n not in SHORT])
+def test_copies_torn_by_long_insertions_are_found(name):
+    template = INDEX.words[name]
+    rng = random.Random(name)
+    for size in (9, 20, len(template)):
+        at = len(template) // 2 + rng.randrange(-2, 3)
+        copy = [*template[:at], *[b"x%d" % i for i in range(size)], *template[at:]]
+        text = b" ".join([b"lead", *copy, b"end"]).decode()
+        got = [(m[1], m[2], text[m[3] : m[4]]) for m in op.scan_text(text, INDEX) if m[0] == name]
+        assert got == [(len(template), 1.0, text[5:-4])]
+
+
+def test_alignment_without_a_band_equals_common_subsequence():
+    rng = random.Random(9)
+    for _ in range(500):
+        a = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(1, 12))]
+        b = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randrange(0, 25))]
+        index = op.TemplateIndex({"t": b" ".join(a).decode()})
+        matched, first, end = op.align_anywhere(index, "t", b)
+        assert matched == lcs(a, b) == lcs(a, b[first:end])
+
+
 def test_every_repetition_counts():
     text = "x y z. Released under the MIT License. " * 500
     assert len(op.scan_text(text, INDEX)) == 500
