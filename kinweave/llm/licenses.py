@@ -12,6 +12,7 @@ an alignment without a band finds copies that long insertions or cuts tear apart
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
@@ -31,31 +32,96 @@ BAND = 8  # words by which a copy may drift from the template's course
 MIN_COVERAGE = 0.8  # matched share of the template's words
 MAX_INDEX_WORDS = 1_000_000
 
-# Short notices and the opening text of well-known licenses.
-TEMPLATES = {
+# Notices, headers of source files and openings of license texts.
+_NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT text": (
+    "MIT opening": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
         "software and associated documentation files (the \"Software\"), to deal in the Software "
         "without restriction, including without limitation the rights to use, copy, modify, "
         "merge, publish, distribute, sublicense, and/or sell copies of the Software"
     ),
-    "BSD text": (
+    "BSD opening": (
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met"
     ),
-    "Apache-2.0 text": (
+    "Apache-2.0 header": (
         "you may not use this file except in compliance with the License. You may obtain a copy "
         "of the License at http://www.apache.org/licenses/LICENSE-2.0"
     ),
-    "GPL text": (
+    "GPL header": (
         "This program is free software: you can redistribute it and/or modify it under the terms "
         "of the GNU General Public License as published by the Free Software Foundation"
     ),
+    "AGPL-3.0 header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "Affero General Public License for more details. You should have received a copy of the "
+        "GNU Affero General Public License along with this program."
+    ),
+    "LGPL-2.1 header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version. This library "
+        "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
+        "the GNU Lesser General Public License for more details. You should have received a copy "
+        "of the GNU Lesser General Public License along with this library."
+    ),
+    "MPL-2.0 header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If "
+        "a copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/."
+    ),
+}
+# Each gives a notice "Licensed under ..." and one "Released under ...".
+_NAMES = {
+    "MIT": "the MIT License",
+    "ISC": "the ISC License",
+    "BSD": "the BSD License",
+    "BSD-2-Clause": "the BSD 2-Clause License",
+    "BSD-3-Clause": "the BSD 3-Clause License",
+    "Apache-2.0": "the Apache License, Version 2.0",
+    "MPL-2.0": "the Mozilla Public License, Version 2.0",
+    "GPL-2.0": "the GNU General Public License, version 2",
+    "GPL-3.0": "the GNU General Public License, version 3",
+    "LGPL-2.1": "the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "the GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "the GNU Affero General Public License, version 3",
+    "CC0-1.0": "CC0 1.0",
+    **{
+        f"CC-{kind}-4.0": f"CC {kind} 4.0"
+        for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
+    },
 }
+# Whole texts, in license_texts; no text of the AGPL or of CC licenses but CC0 was at hand.
+_TEXTS = (
+    "Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2",
+    "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0",
+    "MIT", "MPL-1.1", "MPL-2.0",
+)
+
+
+def _templates() -> dict[str, str]:
+    out = dict(_NOTICES)
+    for name, words in _NAMES.items():
+        for verb in ("Licensed", "Released"):
+            notice = f"{verb} under {words}."
+            if notice not in out.values():
+                out[f"{name} ({verb.lower()})"] = notice
+    for name in _TEXTS:
+        data = pkgutil.get_data("kinweave.llm", f"license_texts/{name}.txt")
+        out[f"{name} text"] = data.decode("utf-8")
+    return out
+
+
+TEMPLATES = _templates()
 _WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 
 
@@ -263,7 +329,9 @@ def _free(begin: int, stop: int, taken: list[tuple[int, int]]) -> Iterator[tuple
 def scan_text(text: str | None, index: TemplateIndex) -> list[tuple[str, int, float, int, int]]:
     """(template, matched words, coverage, start, end) in code points, by start.
 
-    Of overlapping matches of one template the best covered stays, the earlier on a tie.
+    Of overlapping matches of one template the best covered stays, the earlier on a tie. A
+    match also goes where a template of at most twice its length, such as the same notice of
+    another license, matches more there and is covered no less, or as much and covered better.
     """
     words = plain_words(text)
     matches = []
@@ -285,8 +353,28 @@ def scan_text(text: str | None, index: TemplateIndex) -> list[tuple[str, int, fl
     for coverage, first, end, name, matched in sorted(matches):
         if not taken[name][first:end].any():
             taken[name][first:end] = True
-            out.append((name, matched, -coverage, spans[first][0], spans[end - 1][1]))
-    return sorted(out, key=lambda m: (m[3], m[0]))
+            out.append((name, matched, -coverage, first, end))
+    out.sort(key=lambda m: (m[3], m[0]))
+    return [
+        (*m[:3], spans[m[3]][0], spans[m[4] - 1][1])
+        for m, better in zip(out, _outdone(out, index), strict=True)
+        if not better
+    ]
+
+
+def _outdone(matches: list[tuple[str, int, float, int, int]], index: TemplateIndex) -> list[bool]:
+    """Whether a better match of a template of at most twice the length overlaps; by start."""
+    out = [False] * len(matches)
+    open_: list[int] = []
+    for i, m in enumerate(matches):
+        open_ = [j for j in open_ if matches[j][4] > m[3]]
+        for j in open_:
+            for a, b in ((i, j), (j, i)):
+                (x, xm, xc, *_), (y, ym, yc, *_) = matches[a], matches[b]
+                if len(index.words[y]) <= 2 * len(index.words[x]):
+                    out[a] |= ym >= xm and yc >= xc and (ym, yc) != (xm, xc)
+        open_.append(i)
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:

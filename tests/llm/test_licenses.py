@@ -58,12 +58,29 @@ def test_edited_copies_are_found(name):
         assert name in {m[0] for m in op.scan_text(text, INDEX)}
 
 
+@pytest.mark.parametrize("name", op._TEXTS)
+def test_whole_texts_and_not_their_openings(name):
+    text = op.TEMPLATES[f"{name} text"]
+    got = {m[0]: m[2] for m in op.scan_text(f"lead in {text} and on", INDEX)}
+    assert got[f"{name} text"] == 1.0
+    half = " ".join(text.split()[: len(text.split()) // 2])
+    assert f"{name} text" not in {m[0] for m in op.scan_text(half, INDEX)}
+
+
+@pytest.mark.parametrize("license", list(op._NAMES))
+@pytest.mark.parametrize("verb", ["Licensed", "Released"])
+def test_notices_name_their_license_alone(license, verb):
+    got = op.scan_text(f"Words before. {verb} under {op._NAMES[license]}. Words behind.", INDEX)
+    assert [(m[0].split(" ")[0], m[2]) for m in got] == [(license, 1.0)]
+
+
 SHORT = [n for n, w in INDEX.words.items() if len(w) < 20]
 
 
 @pytest.mark.parametrize("name", SHORT)
 def test_short_notices_at_the_threshold_are_found(name):
     template = INDEX.words[name]
+    index = op.TemplateIndex({name: op.TEMPLATES[name]})
     for lost in itertools.combinations(range(len(template)), len(template) // 5):
         for put in ([], [b"an"], [b"quite", b"another"]):
             copy = [b"lead", b"in"]
@@ -72,7 +89,7 @@ def test_short_notices_at_the_threshold_are_found(name):
             best = lcs(template, copy)
             assert best >= op.MIN_COVERAGE * len(template)
             text = b" ".join([*copy, b"and", b"on"]).decode()
-            assert (name, best) in {m[:2] for m in op.scan_text(text, INDEX)}
+            assert (name, best) in {m[:2] for m in op.scan_text(text, index)}
 
 
 @pytest.mark.parametrize("name", [n for n in op.TEMPLATES if n not in SHORT])
