@@ -117,7 +117,8 @@ def fit(
     """The averaged weights ``(sorted hashes, weights)``, fitted outside the held-out fold.
 
     ``labels`` has doc_id and toxic. Rows without id or label are left out; of several
-    labels of one document the largest counts. Without labels the model is empty.
+    labels of one document the largest counts. Without labels the model is empty. A model of
+    more than MAX_WEIGHTS weights fails; none is cut.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
     known = (
@@ -153,9 +154,13 @@ def fit(
         .groupBy("at")
         .agg(F.sum("w").alias("w"))
         .orderBy(F.abs("w").desc(), "at")
-        .limit(MAX_WEIGHTS)
+        .limit(MAX_WEIGHTS + 1)
         .toPandas()
     )
+    if len(model) > MAX_WEIGHTS:
+        raise ValueError(
+            f"more than {MAX_WEIGHTS} weights differ from zero; raise l1 or take fewer shards"
+        )
     at = model["at"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(at)
     return at[order], model["w"].to_numpy(float)[order]

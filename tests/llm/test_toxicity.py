@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from kinweave.llm import toxicity as op
 from kinweave.llm.text import crc_remainder
@@ -79,3 +80,17 @@ def test_odd_rows(spark):
     none = op.score_toxicity(docs, labels.limit(0)).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
     assert op.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_too_many_weights_fail_openly(spark, monkeypatch):
+    monkeypatch.setattr(op, "MIN_DOCS", 1)
+    data = [(i, "kind words here" if i % 2 else "vile words there") for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    at, _ = op.fit(docs, labels)
+    assert len(at) > 3
+    monkeypatch.setattr(op, "MAX_WEIGHTS", len(at))
+    assert op.fit(docs, labels)[0].tolist() == at.tolist()
+    monkeypatch.setattr(op, "MAX_WEIGHTS", len(at) - 1)
+    with pytest.raises(ValueError, match="weights differ from zero"):
+        op.fit(docs, labels)
