@@ -180,6 +180,41 @@ ORACLES["bitmap_distinct_strings"] = """
 SELECT c_mktsegment, count(DISTINCT c_name) AS n FROM customer GROUP BY c_mktsegment
 """
 
+ORACLES["bitmap_distinct_exact"] = f"""
+SELECT lang, count(DISTINCT word) AS n FROM (SELECT lang, unnest({_TOKENS}) AS word FROM documents)
+GROUP BY lang
+"""
+
+ORACLES["container_rollup"] = """
+SELECT 'l_orderkey' AS what, l_linestatus, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_linestatus
+UNION ALL
+SELECT 'l_suppkey', l_linestatus, count(DISTINCT l_suppkey) FROM lineitem GROUP BY l_linestatus
+"""
+
+ORACLES["login_streaks_merged"] = ORACLES["login_streaks"]
+ORACLES["longest_streaks_merged"] = f"""
+SELECT user_id, sum(days)::BIGINT AS n_days, max(days) AS longest
+FROM ({ORACLES["login_streaks"]}) GROUP BY user_id
+"""
+ORACLES["running_total_resumed"] = ORACLES["running_total"]
+ORACLES["gap_sessions_resumed"] = ORACLES["gap_sessions"]
+
+ORACLES["write_sized_files"] = ORACLES["word_count"]
+ORACLES["write_single_file"] = f"""
+SELECT word, count(*) AS n, 1 AS n_files
+FROM (SELECT unnest({_TOKENS}) AS word FROM (SELECT source AS text FROM documents)) GROUP BY word
+"""
+ORACLES["sequence_lookup"] = """
+SELECT k::INT AS c_nationkey, count(c_custkey) AS n
+FROM range(30) t(k) LEFT JOIN customer ON c_nationkey = k GROUP BY k
+"""
+
+ORACLES["pruned_lookup"] = """
+SELECT l_orderkey, l_linenumber, l_partkey, c_custkey
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+WHERE c_mktsegment = 'BUILDING'
+"""
+
 _ORDER_LINES = """
 SELECT l_orderkey AS o_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, o_custkey, o_orderdate
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -316,6 +351,73 @@ SELECT t.id AS biaoshi_hashcode,
 FROM t_labels t LEFT JOIN a_labels a ON t.id = a.id
 """
 
+_ROLLED = """
+{n}_all_vertices AS (SELECT id FROM {n}_vertices UNION SELECT id FROM {before} UNION SELECT label FROM {before}),
+{n}_all_edges AS (SELECT src, dst FROM {n}_edges UNION SELECT id, label FROM {before} WHERE id <> label),"""
+
+
+def _rolled(name: str, before: str) -> str:
+    """A day's dictionary on top of the one before, as the table ``<name>_rolled``."""
+    return f"""
+{_ROLLED.format(n=name, before=before)}
+{_labels(f"{name}_t", f"{name}_all_vertices", f"{name}_all_edges")},
+{name}_rolled AS (
+  SELECT t.id, coalesce(min(o.label) OVER (PARTITION BY t.label), t.label) AS label
+  FROM {name}_t_labels t LEFT JOIN {before} o ON t.id = o.id)"""
+
+
+ORACLES["id_mapping_incremental"] = f"""
+WITH RECURSIVE ids AS MATERIALIZED ({_IDS}),
+{_day("a", "o_orderdate < TIMESTAMP '1998-04-25'")}, {_labels("a", "a_vertices", "a_edges")},
+{_day("b", "o_orderdate >= TIMESTAMP '1998-04-25' AND o_orderdate < TIMESTAMP '1998-06-10'")},
+{_day("c", "o_orderdate >= TIMESTAMP '1998-06-10'")},
+{_rolled("b", "a_labels")}, {_rolled("c", "b_rolled")}
+SELECT id AS biaoshi_hashcode, label AS guid FROM c_rolled
+"""
+
+ORACLES["id_mapping_log_files"] = f"""
+WITH RECURSIVE texts AS MATERIALIZED ({_IDS}),
+ids AS MATERIALIZED (SELECT c_text AS c, s_text AS s, p_text AS p, l_linenumber FROM texts),
+{_day("d", "true")}, {_labels("d", "d_vertices", "d_edges")}
+SELECT label AS first_id, count(*) AS n_ids FROM d_labels GROUP BY label
+"""
+
+_LOG_LINE = """'{"user":{"uid":"c' || o_custkey || '","phone":{"imei":"s' || l_suppkey || '"'"""
+
+ORACLES["log_intake"] = f"""
+SELECT kind, text, count(*) AS n FROM (
+  SELECT 'ids' AS kind, 'c' || o_custkey || '|s' || l_suppkey
+         || CASE WHEN l_linenumber = 3 THEN '' ELSE '|p' || l_partkey END AS text
+  FROM ({_ORDER_LINES}) WHERE o_orderkey % 50 <> 0
+  UNION ALL
+  SELECT 'line', substr({_LOG_LINE}, 1, 25) FROM ({_ORDER_LINES}) WHERE o_orderkey % 50 = 0)
+GROUP BY kind, text
+"""
+
+ORACLES["bucketed_dictionary"] = f"""
+WITH RECURSIVE ids AS MATERIALIZED ({_IDS}),
+{_day("a", "o_orderdate < TIMESTAMP '1998-04-25'")}, {_labels("a", "a_vertices", "a_edges")},
+today AS (
+  SELECT c AS id, c_text AS value FROM ids WHERE o_orderdate >= TIMESTAMP '1998-04-25'
+  UNION SELECT s, s_text FROM ids WHERE o_orderdate >= TIMESTAMP '1998-04-25'
+  UNION SELECT p, p_text FROM ids WHERE l_linenumber <> 3 AND o_orderdate >= TIMESTAMP '1998-04-25')
+SELECT today.id AS biaoshi_hashcode, value, label AS guid FROM today LEFT JOIN a_labels ON today.id = a_labels.id
+"""
+
+_RARE_IDS = f"""
+SELECT ['c' || o_custkey, 's' || l_suppkey, 'p' || l_partkey, 'o' || o_orderkey,
+        'm' || o_orderkey || '-' || l_linenumber,
+        'i' || l_partkey || '-' || l_suppkey || '-' || o_custkey,
+        'u' || o_custkey || '-' || l_partkey] AS ids
+FROM ({_ORDER_LINES})
+"""
+
+ORACLES["id_edges_pruned"] = f"""
+SELECT ids[i] AS src, ids[j] AS dst, count(*) AS n
+FROM ({_RARE_IDS}), range(1, 8) a(i), range(1, 8) b(j) WHERE i < j
+GROUP BY ids[i], ids[j] HAVING count(*) > 2
+"""
+
 _PLACES = f"""
 SELECT *, {_java_hash("place")} AS place_id,
        CASE WHEN name <> '' THEN {_java_hash("CASE WHEN name = '' THEN 'x' ELSE name END")} END AS name_id

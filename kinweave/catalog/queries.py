@@ -16,13 +16,16 @@ from kinweave.functions import (
     tokens,
     url_host,
 )
+from kinweave.plans.bloom import pruned_lookup as bloom_pruned_lookup
 from kinweave.plans.storage import checkpoint_read, checkpoint_write, scratch_path
+from kinweave.streaming import read_corrupt_lines, read_intake, take_in_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SIX_HOURS = 6 * 3600
 SPLIT_DATE = "1998-04-25"
+THIRD_DATE = "1998-06-10"
 
 
 def _query(fn: Query) -> Query:
@@ -57,6 +60,34 @@ def checkpoint_reload(spark, sf_dir):
     return checkpoint_read(spark, path)
 
 
+@_query
+def write_sized_files(spark, sf_dir):
+    """Word counts written by all tasks, packed into files of 256 KB and read back."""
+    path = scratch_path(spark, "sized")
+    src.write_sized(op.word_count(_table(spark, sf_dir, "documents"), "text"), path, 256 * 1024)
+    return src.read_parquet(spark, path)
+
+
+@_query
+def write_single_file(spark, sf_dir):
+    path = scratch_path(spark, "single")
+    counts = op.word_count(_table(spark, sf_dir, "documents").select(F.col("source").alias("text")), "text")
+    src.write_parquet(counts, path, single_file=True)
+    files = src.read_parquet(spark, path).select("word", "n", F.col("_metadata.file_name").alias("file"))
+    one_file = files.groupBy().agg(F.countDistinct("file").alias("n_files"))
+    return files.drop("file").crossJoin(F.broadcast(one_file))
+
+
+@_query
+def sequence_lookup(spark, sf_dir):
+    """Customers of every nation key from 0 to 29, also of those that no nation has."""
+    keys = src.sequence(spark, range(30), "c_nationkey")
+    customers = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return keys.join(customers, "c_nationkey", "left").select(
+        "c_nationkey", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+    )
+
+
 @_query
 def sum_by_key(spark, sf_dir):
     soldiers = op.typed_projection(
@@ -159,6 +190,17 @@ def side_table_lookup(spark, sf_dir):
     return op.keyed_lookup(customers, src.read_side_table(spark, path), "id", "name", "line_order")
 
 
+@_query
+def pruned_lookup(spark, sf_dir):
+    """Lines of one customer segment: a filter of its orders drops the others before the shuffle."""
+    buyers = _table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    orders = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")
+    )
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return bloom_pruned_lookup(lines, orders.join(buyers, "c_custkey"), ["l_orderkey"], max_rows=100)
+
+
 @_query
 def range_lookup_mixed_types(spark, sf_dir):
     """A double against whole-numbered ends, which are compared as doubles."""
@@ -228,6 +270,42 @@ def login_streaks(spark, sf_dir):
     )
 
 
+EVENT_WEEKS = 6
+
+
+def _weeks(spark, sf_dir) -> list[tuple[Column, Column]]:
+    """The weeks from the first event on; a week past the last event is an empty block."""
+    begin = _table(spark, sf_dir, "events").agg(F.to_date(F.min("ts"))).first()[0]
+    days = [F.date_add(F.lit(begin), 7 * k) for k in range(EVENT_WEEKS)]
+    return [(day, F.date_add(day, 6)) for day in days]
+
+
+@_query
+def login_streaks_merged(spark, sf_dir):
+    """The streaks of each week by itself, merged week by week."""
+    events, merged = _table(spark, sf_dir, "events"), None
+    for first, last in _weeks(spark, sf_dir):
+        runs = op.block_runs(events, ["user_id"], "ts", first, last)
+        merged = runs if merged is None else op.merge_runs(merged.unionByName(runs), ["user_id"])
+    return merged.select(
+        "user_id",
+        "days",
+        F.date_format("first_day", "yyyy-MM-dd").alias("first_day"),
+        F.date_format("last_day", "yyyy-MM-dd").alias("last_day"),
+    )
+
+
+@_query
+def longest_streaks_merged(spark, sf_dir):
+    """Active days and longest streak per user out of one summary per week."""
+    events, summaries = _table(spark, sf_dir, "events"), None
+    for first, last in _weeks(spark, sf_dir):
+        runs = op.block_runs(events, ["user_id"], "ts", first, last)
+        week = op.streak_summary(runs, ["user_id"], first, last)
+        summaries = week if summaries is None else summaries.unionByName(week)
+    return op.merge_summaries(summaries, ["user_id"]).select("user_id", "n_days", "longest")
+
+
 @_query
 def running_total(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
@@ -235,6 +313,24 @@ def running_total(spark, sf_dir):
     return totals.select("event_id", "user_id", "running_total")
 
 
+def _event_batches(events: DataFrame, at: str) -> list[DataFrame]:
+    """The events up to the tenth and the twentieth of the month, and the others."""
+    cuts = [F.lit(f"2024-01-{d} 06:00:00").cast("timestamp_ntz") for d in (10, 20)]
+    time = F.col(at)
+    return [events.where(time < cuts[0]), events.where((time >= cuts[0]) & (time < cuts[1])), events.where(time >= cuts[1])]
+
+
+@_query
+def running_total_resumed(spark, sf_dir):
+    """Three batches of events, each going on from the totals stored before."""
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    parts, carry = [], None
+    for batch in _event_batches(events, "ts"):
+        done = op.resume_running_total(batch, carry, "event_id", ["ts", "event_id"], ["user_id"])
+        parts, carry = [*parts, done.rows], done.carry
+    return op.union_logs(*parts).select("event_id", "user_id", "running_total")
+
+
 @_query
 def running_total_global(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -287,6 +383,29 @@ def gap_sessions(spark, sf_dir):
     )
 
 
+@_query
+def gap_sessions_resumed(spark, sf_dir):
+    """The same in three batches; a session that went on replaces its earlier row."""
+    versions, carry = [], None
+    for number, batch in enumerate(_event_batches(_event_intervals(spark, sf_dir), "start")):
+        done = op.resume_gap_sessions(
+            batch, carry, ["user_id"], "start", "end", ["start", "event_id"], ["cents"], SIX_HOURS
+        )
+        versions, carry = [*versions, done.rows.withColumn("batch", F.lit(number))], done.carry
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    latest = op.union_logs(*versions).groupBy("user_id", "session_no").agg(
+        F.max_by(F.struct("session_start", "session_end", "n_rows", "cents"), "batch").alias("s")
+    )
+    return latest.select(
+        "user_id",
+        "session_no",
+        F.date_format("s.session_start", stamp).alias("session_start"),
+        F.date_format("s.session_end", stamp).alias("session_end"),
+        "s.n_rows",
+        "s.cents",
+    )
+
+
 # Bitmaps
 
 
@@ -326,6 +445,32 @@ def bitmap_distinct_strings(spark, sf_dir):
     return op.bitmap_cardinality(bitmaps, ["c_mktsegment"])
 
 
+@_query
+def bitmap_distinct_exact(spark, sf_dir):
+    """Different words per language, by numbers that two batches of documents gave them."""
+    words = _table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.explode(tokens("text")).alias("word")
+    )
+    path = scratch_path(spark, "string_ids")
+    op.grow_string_ids(spark, path, "even", words.where(F.col("doc_id") % 2 == 0), "word")
+    ids = op.grow_string_ids(spark, path, "all", words, "word")
+    bitmaps = op.bitmap_build_exact(words, ["lang"], "word", ids)
+    return op.bitmap_cardinality(bitmaps, ["lang"])
+
+
+@_query
+def container_rollup(spark, sf_dir):
+    """Orders per line status, out of containers per flag: sparse ones for parts, dense for orders."""
+    lines = _table(spark, sf_dir, "lineitem")
+    found = []
+    for what in ("l_orderkey", "l_suppkey"):
+        fine = op.container_build(lines, ["l_linestatus", "l_returnflag", "l_linenumber"], what)
+        coarse = op.container_merge(fine, ["l_linestatus"])
+        counts = op.container_cardinality(coarse, ["l_linestatus"])
+        found.append(counts.withColumn("what", F.lit(what)))
+    return found[0].unionByName(found[1])
+
+
 # Identity mapping
 
 
@@ -461,6 +606,83 @@ def id_mapping_rolling(spark, sf_dir):
     )
 
 
+@_query
+def id_mapping_incremental(spark, sf_dir):
+    """Three days: the second and third change the first one's dictionary by their deltas."""
+    lines, day = _order_lines(spark, sf_dir), F.col("o_orderdate")
+    second, third = (F.lit(d).cast("timestamp_ntz") for d in (SPLIT_DATE, THIRD_DATE))
+    dictionary = op.id_mapping(_logs(lines.where(day < second)), key=java_hash)
+    for logs in (_logs(lines.where((day >= second) & (day < third))), _logs(lines.where(day >= third))):
+        dictionary = op.id_mapping_incremental(logs, dictionary, key=java_hash)
+    return dictionary
+
+
+@_query
+def id_mapping_log_files(spark, sf_dir):
+    """Log files on the default key; keys are hashes, so people are told by their identifiers."""
+    lines = _order_lines(spark, sf_dir)
+    logs = []
+    for flag in ("A", "N", "R"):
+        path = scratch_path(spark, "event_log")
+        src.write_text(_log_lines(lines.where(F.col("l_returnflag") == flag)), path, columns=["value"])
+        logs.append(op.event_ids(src.read_event_log(spark, path)))
+    people = op.id_mapping(logs).withColumnRenamed("biaoshi_hashcode", "id")
+    names = op.union_logs(*[op.id_vertices(log) for log in logs]).distinct()
+    return (
+        names.join(people, "id")
+        .groupBy("guid")
+        .agg(F.min("value").alias("first_id"), F.count(F.lit(1)).alias("n_ids"))
+        .drop("guid")
+    )
+
+
+@_query
+def log_intake(spark, sf_dir):
+    """Two drops of log files, each taken in by its own run; every 50th line is cut short."""
+    lines = _log_lines(_order_lines(spark, sf_dir))
+    torn = F.when(F.col("o_orderkey") % 50 == 0, F.substring("value", 1, 25)).otherwise(F.col("value"))
+    lines = lines.withColumn("value", torn)
+    source, target, checkpoint = (scratch_path(spark, f"intake_{x}") for x in ("source", "target", "state"))
+    for drop in (F.col("l_linenumber") <= 3, F.col("l_linenumber") > 3):
+        src.write_text(lines.where(drop), source, columns=["value"], mode="append")
+        take_in_logs(spark, source, target, checkpoint)
+    events = read_intake(spark, target).select(F.array_join("ids", "|").alias("text"), F.lit("ids").alias("kind"))
+    corrupt = read_corrupt_lines(spark, target).select(F.col("line").alias("text"), F.lit("line").alias("kind"))
+    return events.unionByName(corrupt).groupBy("kind", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def bucketed_dictionary(spark, sf_dir):
+    """The second day's identifiers looked up in the first day's dictionary, stored in buckets."""
+    lines, cut = _order_lines(spark, sf_dir), F.lit(SPLIT_DATE).cast("timestamp_ntz")
+    path = scratch_path(spark, "bucketed")
+    table = "kinweave_" + path.rsplit("-", 1)[1]
+    first = op.id_mapping(_logs(lines.where(F.col("o_orderdate") < cut)), key=java_hash)
+    dictionary = src.write_bucketed(first, table, path, "biaoshi_hashcode", 16)
+    today = op.union_logs(*[op.id_vertices(x, key=java_hash) for x in _logs(lines.where(F.col("o_orderdate") >= cut))])
+    ids = today.select(F.col("id").alias("biaoshi_hashcode"), "value").distinct()
+    return src.bucketed_lookup(ids, dictionary, "biaoshi_hashcode")
+
+
+def _rare_ids(spark, sf_dir) -> DataFrame:
+    """Three identifiers that many lines share, and four that hardly any two lines do."""
+    ids = F.array(
+        _prefixed("c", "o_custkey"),
+        _prefixed("s", "l_suppkey"),
+        _prefixed("p", "l_partkey"),
+        _prefixed("o", "o_orderkey"),
+        F.concat(_prefixed("m", "o_orderkey"), _prefixed("-", "l_linenumber")),
+        F.concat(_prefixed("i", "l_partkey"), _prefixed("-", "l_suppkey"), _prefixed("-", "o_custkey")),
+        F.concat(_prefixed("u", "o_custkey"), _prefixed("-", "l_partkey")),
+    )
+    return _order_lines(spark, sf_dir).select(ids.alias("ids"))
+
+
+@_query
+def id_edges_pruned(spark, sf_dir):
+    return op.frequent_pairs(_rare_ids(spark, sf_dir), key=lambda c: c)
+
+
 @_query
 def tag_rows_with_guid(spark, sf_dir):
     customers = _table(spark, sf_dir, "customer").select(

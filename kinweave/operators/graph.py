@@ -24,8 +24,13 @@ MAX_IDS_PER_ROW = 2_000
 
 
 def _keys(df: DataFrame, items: Column | str, key: Callable[[Column], Column]) -> DataFrame:
-    """Column ``__keys``: the hashed identifiers of each row."""
-    return df.select(F.transform(items, lambda item: key(item)).alias("__keys"))
+    """Column ``__keys``: the hashed identifiers of each row.
+
+    The arrays leave an explode of one item each. No expression is inlined and no inferred
+    filter pushed through it, so what makes the identifiers (a parse of JSON, say) is part of
+    the plan once, however often the keys are named above.
+    """
+    return df.select(F.explode(F.array(F.transform(items, lambda item: key(item)))).alias("__keys"))
 
 
 def _pairs(hashed: DataFrame, with_self: bool) -> DataFrame:

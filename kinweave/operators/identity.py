@@ -32,14 +32,16 @@ def extract_ids(lines: DataFrame, text: str = "value") -> DataFrame:
     A line without user or phone gives what it has. A line that is no JSON gives no ids
     and keeps its text in ``corrupt``.
     """
+    parsed = lines.withColumn("__log", parse_event_log(F.col(text)))
+    return event_ids(parsed, "__log").drop("__log")
+
+
+def event_ids(events: DataFrame, log: str | None = None) -> DataFrame:
+    """Add ``ids`` and ``corrupt`` to parsed events, whose fields are columns or in struct ``log``."""
+    at = "" if log is None else f"{log}."
     names = ["uid", *[f"phone.{f}" for f in PHONE_ID_FIELDS]]
-    fields = F.array(*[F.col(f"__log.user.{n}") for n in names])
-    return (
-        lines.withColumn("__log", parse_event_log(F.col(text)))
-        .withColumn("ids", nonblank_items(fields))
-        .withColumn("corrupt", F.col("__log._corrupt"))
-        .drop("__log")
-    )
+    fields = F.array(*[F.col(f"{at}user.{n}") for n in names])
+    return events.withColumn("ids", nonblank_items(fields)).withColumn("corrupt", F.col(f"{at}_corrupt"))
 
 
 def _day_graph(

@@ -1,5 +1,6 @@
 """Readers and writers: text, delimited, JSON logs, Parquet, JDBC, literal sequences."""
 
+from kinweave.sources.bucketed import bucketed_lookup, open_bucketed, write_bucketed
 from kinweave.sources.readers import (
     DICTIONARY_SCHEMA,
     EVENT_LOG_SCHEMA,
@@ -13,12 +14,16 @@ from kinweave.sources.readers import (
     read_text,
     sequence,
 )
+from kinweave.sources.sized import compact_files, write_sized
 from kinweave.sources.writers import write_parquet, write_text
 
 __all__ = [
     "DICTIONARY_SCHEMA",
     "EVENT_LOG_SCHEMA",
+    "bucketed_lookup",
+    "compact_files",
     "jdbc_options",
+    "open_bucketed",
     "read_delimited",
     "read_dictionary",
     "read_event_log",
@@ -27,6 +32,8 @@ __all__ = [
     "read_side_table",
     "read_text",
     "sequence",
+    "write_bucketed",
     "write_parquet",
+    "write_sized",
     "write_text",
 ]
