@@ -100,6 +100,24 @@ def test_equals_plain_search(spark, monkeypatch, crowded):
     assert op.substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_ids_of_any_type(spark):
+    data = [(None if d is None else f"k{d:05}", t) for d, t in corpus() if d is None or d >= 0]
+    docs = spark.createDataFrame(data, "doc_id string, text string")
+    rows = op.substring_dedup(docs, keep_text=True).collect()
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in rows)
+    assert got == plain(data)
+
+
+def test_texts_are_not_shuffled_again(spark):
+    docs = spark.createDataFrame([(1, "a " * 50), (2, "a " * 50)], "doc_id bigint, text string")
+    plan = op.substring_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    # Only the places are dealt out to the documents' buckets.
+    assert "Bucketed: true" in plan and "packed" not in "".join(
+        line for line in plan.splitlines() if "Exchange" in line
+    )
+    assert plan.count("Exchange hashpartitioning(row") + plan.count("Exchange hashpartitioning(__row") == 1
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     duck = duckdb.connect()
