@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from kinweave.functions.scalars import URL_HOST_PATTERN
+
 ORACLES: dict[str, str] = {}
 
 # The R1 token rule: leading empty token kept, trailing ones dropped.
@@ -46,13 +48,9 @@ UNION ALL
 SELECT event_id, user_id, event_type, 'mini' FROM events WHERE event_type IN ('signup', 'view')
 """
 
-ORACLES["url_domain"] = r"""
-SELECT page_id,
-       CASE WHEN regexp_extract(url, '^(?:https?://)?(?:www\.)?([A-Za-z0-9._%+-]+)/?.*$', 1) = ''
-            THEN 'none'
-            ELSE regexp_extract(url, '^(?:https?://)?(?:www\.)?([A-Za-z0-9._%+-]+)/?.*$', 1)
-       END AS host
-FROM pages
+ORACLES["url_domain"] = f"""
+SELECT page_id, CASE WHEN host = '' THEN 'none' ELSE host END AS host
+FROM (SELECT page_id, regexp_extract(url, '{URL_HOST_PATTERN}', 1) AS host FROM pages)
 """
 
 ORACLES["array_contains_literal"] = rf"""
