@@ -23,9 +23,12 @@ MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of the words
 SYMBOLS = "#*$%&|<>"
 KEEP_FROM = 0.5
-TRUSTED_BLAME = 0.002  # of the good texts, by a rule on which the votes are silent
-SEES_JUNK = 0.1  # of the junk that other rules agree on: from here votes measure a rule
-LARGEST_KIND = 0.25  # of the documents, junk that one rule alone sees
+KIND_SHARE = 0.28  # of the documents: as likely a kind of junk that one rule alone sees as not
+KIND_SLOPE = 8  # how fast that belief falls with the share
+SIGHT = 16  # how fast it falls with the junk of other rules that the rule sees
+KIND_ERRORS = 0.05  # mistakes per document of such a kind
+SIGHT_PRIOR = 0.25  # of the junk that others agree on, seen by a rule that nothing is known of
+LEAST_KIND = 0.01  # of the documents: smaller kinds are believed in as one of this size
 GOOD, BAD, ABSTAIN = 1, 0, -1
 
 
@@ -122,70 +125,86 @@ def votes() -> dict[str, Column]:
     }
 
 
-def agreement(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per rule, whether the votes measure it, and its blame where other rules agree.
+def agreement(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per rule, the share it blames of what other rules agree on: of their junk, and of the rest.
 
-    The blame is taken among the documents that two other rules blame (30 documents without
-    blame are added, so a few coincidences measure nothing) and among those that two others
-    clear and none blames.
+    Junk is what two other rules blame (30 documents blamed at the rate SIGHT_PRIOR are added,
+    so a few coincidences say little); the rest is what two others clear and none blames.
     """
     bad, active = patterns == BAD, patterns != ABSTAIN
     others_bad = bad.sum(1)[:, None] - bad
     others_clear = (active & ~bad).sum(1)[:, None] - (active & ~bad)
     mass = counts[:, None] * active
     junk, clean = mass * (others_bad >= 2), mass * ((others_bad == 0) & (others_clear >= 2))
-    on_junk = (junk * bad).sum(0) / (junk.sum(0) + 30)
+    on_junk = ((junk * bad).sum(0) + 30 * SIGHT_PRIOR) / (junk.sum(0) + 30)
     on_clean = (clean * bad).sum(0) / (clean.sum(0) + 1)
-    measured = (on_junk >= SEES_JUNK) | (on_clean > LARGEST_KIND)
-    return measured, on_junk, on_clean
+    return on_junk, on_clean
+
+
+def kind_beliefs(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per rule, the belief that what it blames alone is a kind of junk, and not its mistakes.
+
+    Votes cannot tell the two apart, so this is prior knowledge, smooth in both things that it
+    depends on. A kind of junk is a small part of a corpus: the belief falls with the share that
+    the rule blames alone. And a rule that sees the junk of others can be measured on it: the
+    more of it the rule sees (beyond the quarter assumed without evidence), the smaller a
+    kind of its own may be.
+    """
+    on_junk, on_clean = agreement(patterns, counts)
+    likely = KIND_SHARE * np.exp(-SIGHT * np.maximum(on_junk - SIGHT_PRIOR, 0))
+    return 1.0 / (1.0 + (on_clean / likely) ** KIND_SLOPE)
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 2000) -> dict:
-    """EM for the share of good texts and for each rule's rate of blame in either class.
+    """EM for the classes of documents and for each rule's rate of blame in them.
 
-    ``patterns`` has a row of votes per pattern, ``counts`` how many documents show it.
-    Rules are independent given the class and an abstention says nothing. No rate is bounded;
-    each has a prior of so many documents, and agreement() says which:
+    ``patterns`` has a row of votes per pattern, ``counts`` how many documents show it. Rules
+    are independent given the class and an abstention says nothing. The classes are good
+    texts, junk that several rules see, and per rule a kind of junk that it sees alone.
 
-    - A measured rule starts from its blame where the others agree, with a weight of half a
-      percent of the documents, so it may turn out to blame any share of the good texts.
-    - Junk comes in kinds, so a rule may blame alone what no other rule sees. Votes cannot tell
-      that from a mistake. Such a rule is trusted: its prior is TRUSTED_BLAME of the good texts
-      with the weight of all documents, unless it would call more than LARGEST_KIND junk.
+    Every rate and the size of every kind has a prior of so many documents. What the rules
+    blame of junk and how large kinds are starts from agreement() and kind_beliefs() with the
+    weight of all documents; mistakes on good texts have that weight as far as a kind is
+    believed in, and are free to be any share as far as not. So each is a mean of a smooth
+    anchor and what EM finds, and the posteriors move smoothly with the counts.
 
-    Returns prior, rates (class, rule) and the posterior of each pattern.
+    Returns prior (of good texts), rates (of good texts at 1, of junk at 0, by rule) and the
+    posterior of each pattern.
     """
     bad, active = patterns == BAD, patterns != ABSTAIN
-    total = counts.sum()
-    measured, on_junk, on_clean = agreement(patterns, counts)
-    prior = 0.8
-    rates = np.stack([
-        np.where(measured & (on_junk > on_clean), on_junk, 0.25),
-        np.where(measured, on_clean, TRUSTED_BLAME),
-    ])
-    rates = np.clip(rates, 1e-4, 1 - 1e-4)
-    light = np.full(len(measured), 0.005 * total + 1)
-    weight = np.stack([light, np.where(measured, light, total + 1)])
-    anchor = rates * weight
-    posterior = np.full(len(counts), prior)
+    n_rules, total = patterns.shape[1], counts.sum()
+    on_junk, on_clean = agreement(patterns, counts)
+    belief = kind_beliefs(patterns, counts)
+    size = np.maximum(on_clean, LEAST_KIND)
+    kinds = kind_anchor = belief * size
+    good = good_anchor = belief * KIND_ERRORS * size + (1 - belief) * on_clean + 1e-4
+    # With lower rates this class would look like good texts that no rule blames.
+    junk = np.clip(np.maximum(on_junk, SIGHT_PRIOR), 1e-4, 1 - 1e-4)
+    junk_anchor, weight = junk, total * belief + 0.005 * total + 1
+    share = 0.05  # of junk that several rules see
+    posterior = np.full(len(counts), 0.5)
     for _ in range(rounds):
-        logs = [
-            (bad * np.log(rates[c]) + (active & ~bad) * np.log1p(-rates[c])).sum(1)
-            + np.log(prior if c else 1 - prior)
-            for c in (0, 1)
-        ]
-        fresh = 1.0 / (1.0 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
-        done = np.abs(fresh - posterior).max(initial=0) < 1e-9
+        rates = np.vstack([good, junk, np.where(np.eye(n_rules, dtype=bool), 1 - 1e-4, good[None, :])])
+        rest = max(1 - share - kinds.sum(), 1e-6)
+        sizes = np.concatenate([[rest, share], kinds])
+        logs = bad @ np.log(rates).T + (active & ~bad) @ np.log1p(-rates).T + np.log(sizes)
+        # Without a blame there is no kind; a rule that abstains has none either.
+        logs[:, 2:][~bad] = -np.inf
+        logs -= logs.max(axis=1, keepdims=True)
+        belongs = np.exp(logs)
+        belongs /= belongs.sum(axis=1, keepdims=True)
+        fresh = belongs[:, 0]
+        done = np.abs(fresh - posterior).max(initial=0) < 1e-10
         posterior = fresh
         if done:
             break
-        for c, mass in ((1, posterior * counts), (0, (1 - posterior) * counts)):
-            blamed = (bad * mass[:, None]).sum(0) + anchor[c]
-            voted = (active * mass[:, None]).sum(0) + weight[c]
-            rates[c] = np.clip(blamed / voted, 1e-9, 1 - 1e-9)
-        good = (posterior * counts).sum()
-        prior = float(np.clip((good + 1) / (total + 2), 1e-6, 1 - 1e-6))
-    return {"prior": prior, "rates": rates, "posterior": posterior}
+        mass = belongs * counts[:, None]
+        good = ((mass[:, 0] @ bad) + good_anchor * weight) / ((mass[:, 0] @ active) + weight)
+        junk = ((mass[:, 1] @ bad) + junk_anchor * total + 1e-9) / ((mass[:, 1] @ active) + total + 1e-9)
+        good, junk = (np.clip(r, 1e-9, 1 - 1e-9) for r in (good, junk))
+        kinds = (mass[:, 2:].sum(axis=0) + kind_anchor * total) / (2 * total + 1e-9)
+        share = float(np.clip((mass[:, 1].sum() + 1) / (total + 20), 1e-6, 0.9))
+    return {"prior": float(posterior @ counts / max(total, 1)), "rates": np.stack([junk, good]), "posterior": posterior}
 
 
 def judge_quality(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:

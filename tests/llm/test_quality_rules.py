@@ -109,3 +109,34 @@ def test_held_out_quality(spark):
     good = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
     bad = [r.kept for r in rows if r.quality == 0]
     assert sum(good) > 0.98 * len(good) and sum(bad) < 0.1 * len(bad)
+
+
+SHARES = [k / 100 for k in range(1, 41)]
+
+
+@pytest.mark.parametrize("sees", [0.0, 0.1, 0.3, 0.5, 0.9])
+def test_posterior_moves_smoothly_with_a_rules_share(sees):
+    """Six rules, 3 % junk that two others see, and good texts that rule 2 alone blames."""
+
+    def posterior(share):
+        clean, lone = [1] * 6, [1, 1, 0, 1, 1, 1]
+        seen, unseen = [0, 0, 0, 1, 1, 1], [0, 0, 1, 1, 1, 1]
+        votes = np.array([clean, lone, seen, unseen])
+        counts = np.array([0.97 - share, share, 0.03 * sees, 0.03 * (1 - sees)]) * 1e6
+        model = op.estimate(votes, counts)
+        assert model["posterior"][0] > 0.9 and (model["posterior"][2:] < 0.5).all()
+        return model["posterior"][1]
+
+    found = np.array([posterior(s) for s in SHARES])
+    # Monotonic up to rounding, and no step of a hundredth of the documents changes much.
+    assert (np.diff(found) > -0.02).all() and np.abs(np.diff(found)).max() < 0.25
+    finer = [posterior(s) for s in np.linspace(0.2, 0.36, 81)]
+    assert np.abs(np.diff(finer)).max() < 0.06
+    assert found[-1] > 0.8
+
+
+def test_posterior_does_not_depend_on_the_size_of_the_corpus():
+    votes = np.array([[1] * 6, [1, 1, 0, 1, 1, 1], [1, 1, 1, 1, 0, 0], [0, 0, 1, 0, 1, -1]])
+    shares = np.array([0.8, 0.12, 0.05, 0.03])
+    small, large = (op.estimate(votes, shares * n)["posterior"] for n in (1e4, 1e9))
+    assert np.abs(small - large).max() < 0.05
