@@ -22,6 +22,8 @@ from kinweave.plans.storage import materialize
 FOLDS, HELD_OUT = 3, 1
 # The classifier reads about so many labelled documents, however many there are.
 SAMPLE = 20_000
+# Rows of different features that the ids of the sample may have on average.
+MAX_ROWS_PER_ID = 10
 KEEP_FROM = 0.5
 MAX_STRENGTH = 1000.0
 _SALTS = 64
@@ -95,8 +97,12 @@ def train(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple
         return np.zeros(FEATURES), 0.5
     draw = F.pmod(F.xxhash64("doc_id", F.lit(57)), F.lit(1_000_000))
     chosen = known.where(draw < max(1, int(min(1.0, sample / total) * 1_000_000)))
-    # About ``sample`` rows of some thirty small numbers come to the driver.
-    rows = measured.select("doc_id", "x").join(F.broadcast(chosen), "doc_id").select("x", "y").toPandas()
+    # About ``sample`` rows of some thirty small numbers come to the driver: of rows that share an
+    # id, those of different features. Far more of them fail; none are cut.
+    found = measured.select("doc_id", "x").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "x"])
+    rows = found.select("x", "y").limit(MAX_ROWS_PER_ID * sample + 1).toPandas()
+    if len(rows) > MAX_ROWS_PER_ID * sample:
+        raise ValueError("too many different rows share the sampled ids; take a smaller sample")
     if len(rows) == 0:
         return np.zeros(FEATURES), 0.5
     y = rows["y"].to_numpy(float)
@@ -150,6 +156,32 @@ def _spread_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame
     )
 
 
+# What of a page is no text, and the host and first folder of an address.
+_NO_TEXT = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
+_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
+_FOLDER = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*/([^/?#]+)/"
+
+
+def page_documents(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, url, html) as documents: doc_id, host, path (the first folder) and text.
+
+    Hosts are in lower case and without ``www.``. A page without a usable address has null
+    sites; one that lies in no folder has the path ''. Null html is a null text.
+    """
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", _HOST, 1)), r"^www\.", "")
+    return pages.select(
+        F.col("page_id").alias("doc_id"),
+        F.when(host != "", host).alias("host"),
+        F.when(host != "", F.regexp_extract("url", _FOLDER, 1)).alias("path"),
+        F.regexp_replace("html", _NO_TEXT, " ").alias("text"),
+    )
+
+
+def judge_pages(pages: DataFrame, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``judge_sites`` of web pages by their addresses; labelled documents teach the classifier."""
+    return judge_sites(page_documents(pages), labels, host="host", path="path", training=docs, **options)
+
+
 def judge_sites(
     docs: DataFrame,
     labels: DataFrame,
@@ -157,9 +189,11 @@ def judge_sites(
     path: str = "lang",
     keep_from: float = KEEP_FROM,
     sample: int = SAMPLE,
+    training: DataFrame | None = None,
 ) -> DataFrame:
     """Per document: doc_id, host, path, evidence, host_mean, path_mean, posterior and kept.
 
+    ``labels`` are those of ``docs``, or of other documents ``training`` (doc_id, text).
     ``host`` and ``path`` name columns; a path lies inside its host, and null hosts and paths
     are groups of their own. A null text is a text without words. Repeated rows count and
     come back as often. A document alone in the corpus meets the prior one half.
@@ -168,7 +202,8 @@ def judge_sites(
         "doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text"
     )
     measured = materialize(measure_features(named, ["doc_id", "host", "path"]), "site_features")
-    weights, rate = train(measured, labels, sample)
+    learned = measured if training is None else measure_features(training, ["doc_id"])
+    weights, rate = train(learned, labels, sample)
     terms = [F.lit(float(w)) * F.get("x", F.lit(i)) for i, w in enumerate(weights)]
     score = sum(terms[1:], terms[0])
     probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-15.0), F.least(F.lit(15.0), score))))
