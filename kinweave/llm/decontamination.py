@@ -23,6 +23,8 @@ SHARE = 20  # contaminated from one hit word in so many words
 # Every ASCII character but digits and letters.
 _CUTS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _KEY = ["__a", "__b"]
+# Parts into which the rows of each word are dealt where windows are too many to be broadcast.
+_SALTS = 16
 
 
 def plain_tokens(text: Column) -> Column:
@@ -114,16 +116,25 @@ def find_windows(documents: DataFrame, windows: DataFrame) -> DataFrame:
             .where(whole)
             .select(*found)
         )
-    # Only places travel in the shuffle on tokens; the words join them where some are left.
+    # Only places travel in the shuffle on tokens; the words join them where some are left. The
+    # documents' own rows need no token, and a word that is frequent all the same is salted.
+    own = sized.select(
+        *_KEY, "doc_id", "text_hash", "n_words", F.lit(0).alias("start"), F.lit(0).alias("n"),
+        F.lit(None).cast("string").alias("window"),
+    )
+    salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
+    salted = prefix.where("token <> ''").withColumn("__salt", F.explode(salts))
+    words_at = F.posexplode("__words").alias("__at", "token")
     candidates = (
-        sized.select(*_KEY, "doc_id", "text_hash", "n_words", tokens)
-        .join(prefix, "token")
-        .withColumn("start", place)
+        sized.select(*_KEY, "doc_id", "text_hash", "n_words", words_at)
+        .withColumn("__salt", F.pmod(F.xxhash64(*_KEY, "__at"), F.lit(_SALTS)).cast("int"))
+        .join(salted, ["token", "__salt"])
+        .withColumn("start", F.col("__at") - F.col("place") + 2)
         .where(inside)
         .select(*found)
     )
     words = documents.select(*_KEY, "__words").dropDuplicates(_KEY)
-    return candidates.join(words, _KEY).where(whole).select(*found)
+    return candidates.join(words, _KEY).where(whole).select(*found).unionByName(own.select(*found))
 
 
 def decontaminate(
