@@ -18,12 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.llm.text import gram_hashes, hashes, mixed, words_of
 from kinweave.operators.graph import connected_components
-from kinweave.plans.joins import fits_broadcast
+from kinweave.operators.windows import row_position
+from kinweave.plans.joins import fits_broadcast, lookup_join
 from kinweave.plans.storage import keeping_only, materialize
 
 WORDS = 5
@@ -32,6 +34,8 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.99999
 ROWS = 4
 SEATS = 256  # members of a block
+# Shingles that a block holds on average, 8 bytes each, so long texts fill one sooner.
+BLOCK_SHINGLES = 1_000_000
 _SALTS = 16
 
 
@@ -118,18 +122,27 @@ def _signatures(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     )
 
 
+def _class() -> Column:
+    """All 128 bits of a set's hash as text."""
+    return F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("set_a", "set_b")])
+
+
 def _seated(members: DataFrame, seats: int) -> DataFrame:
     """``(class, block)`` of the classes that share a band: likely partners side by side.
 
     A class's anchor is the smallest class it shares a band with; the members of an anchor
-    are dealt into as many blocks as they fill.
+    are dealt into as many blocks as they fill, by their number or by their shingles.
     """
     lowest = members.groupBy("band").agg(F.min("class").alias("low"), F.count(F.lit(1)).alias("n"))
     paired = lowest.where("n > 1").select("band", "low")
     anchored = materialize(
-        members.join(paired, "band").groupBy("class").agg(F.min("low").alias("anchor")), "anchors"
+        members.join(paired, "band")
+        .groupBy("class")
+        .agg(F.min("low").alias("anchor"), F.first("n_shingles").alias("n_shingles")),
+        "anchors",
     )
-    sizes = anchored.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / seats).alias("blocks"))
+    full = F.greatest(F.count(F.lit(1)) / seats, F.sum("n_shingles") / BLOCK_SHINGLES)
+    sizes = anchored.groupBy("anchor").agg(F.ceil(full).alias("blocks"))
     dealt = anchored.join(sizes.where("blocks > 1"), "anchor", "left")
     deal = F.pmod(F.xxhash64("class"), F.coalesce("blocks", F.lit(1)))
     return dealt.select("class", F.xxhash64("anchor", deal).alias("block"))
@@ -148,7 +161,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     found = texts.select(*kept, "text").mapInArrow(
-        run, "class bigint, block bigint, copies bigint, bands array<bigint>, shingles binary"
+        run, "class string, block bigint, copies bigint, bands array<bigint>, shingles binary"
     )
     return found.dropDuplicates(["class"])  # rows that are repeated whole
 
@@ -241,30 +254,58 @@ def near_duplicates(
     with the same set of shingles, n_links the number of other documents linked with this
     one, copies included. A text without words (null, empty) is linked with none and is its
     own class. Repeated rows and rows that share a doc_id are documents of their own. A
-    document without an id counts by the hash of its text where an id is asked for. The
-    result is stored, and nothing else is left in storage.
+    document without an id counts by the hash of its text where an id is asked for. Ids that
+    are no whole numbers are ordered as they sort and come back as texts. The result is stored,
+    and nothing else is left in storage.
     """
+    return _classes(docs, threshold, recall, seats).drop("class_hash")
+
+
+def _classes(
+    docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, seats: int = SEATS
+) -> DataFrame:
+    """``near_duplicates`` and ``class_hash``, which tells classes apart that share a class_id."""
     with keeping_only(docs.sparkSession) as kept:
-        found = _find_duplicates(docs, threshold, recall, seats)
+        if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+            found = _find_duplicates(docs, threshold, recall, seats)
+        else:
+            found = _with_numbered_ids(docs, threshold, recall, seats)
         kept.append(materialize(found, "near_duplicates"))
     return kept[0]
 
 
+def _with_numbered_ids(docs: DataFrame, threshold: float, recall: float, seats: int) -> DataFrame:
+    """The search for ids that are no whole numbers, which stand in for them in their order."""
+    ids = materialize(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "ids")
+    numbered = materialize(row_position(ids, ["doc_id"], name="__number"), "ids")
+    rows = lookup_join(docs.select("doc_id", "text"), numbered, ["doc_id"])
+    found = _find_duplicates(rows.select(F.col("__number").alias("doc_id"), "text"), threshold, recall, seats)
+    names = found
+    for column in ("doc_id", "class_id", "copy_id"):
+        named = numbered.select(F.col("__number").alias(column), F.col("doc_id").cast("string").alias("__name"))
+        known = lookup_join(names, named, [column])
+        # A document without an id goes by its text's hash, which no id stands for.
+        other = F.lit(None).cast("string") if column == "doc_id" else F.col(column).cast("string")
+        names = known.withColumn(column, F.coalesce("__name", other)).drop("__name")
+    return names.select(*found.columns)
+
+
 def _find_duplicates(docs: DataFrame, threshold: float, recall: float, seats: int) -> DataFrame:
     signed = materialize(_signatures(docs, threshold, recall), "signatures")
     # A class of copies shrinks to one row per task before the shuffle.
     classes = materialize(
         signed.where("n_shingles > 0")
-        .groupBy(F.col("set_a").alias("class"), "set_b")
+        .groupBy("set_a", "set_b")
         .agg(
             F.min(F.struct("id", "text_hash")).alias("first"),
             F.count(F.lit(1)).alias("copies"),
+            F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
         )
-        .select("class", "set_b", "first.*", "copies", "bands"),
+        .select(_class().alias("class"), "set_a", "set_b", "first.*", "copies", "n_shingles", "bands"),
         "classes",
     )
-    members = classes.select("class", F.explode("bands").alias("band"))
+    members = classes.select("class", "n_shingles", F.explode("bands").alias("band"))
     seated = materialize(_seated(members, seats), "seats")
     wanted = seated.join(
         classes.select("class", "id", "text_hash", "copies", "bands"), "class"
@@ -287,7 +328,7 @@ def _find_duplicates(docs: DataFrame, threshold: float, recall: float, seats: in
     ).join(sets, "block")
     linked = materialize(
         attended.groupBy("low", "high").applyInPandas(
-            _meeting(threshold), "class bigint, links bigint, partners bigint, root bigint"
+            _meeting(threshold), "class string, links bigint, partners bigint, root string"
         ),
         "links",
     )
@@ -304,15 +345,16 @@ def _find_duplicates(docs: DataFrame, threshold: float, recall: float, seats: in
     grouped = groups.join(named, "component").join(totals, "class")
     # Classes of one unlinked document need no row here: they are what they are.
     settled = (
-        classes.select("class", "set_b", "id", "copies")
+        classes.select("class", "set_a", "set_b", "id", "copies")
         .join(grouped, "class", "left")
         .where("copies > 1 OR class_id IS NOT NULL")
         .select(
-            F.col("class").alias("set_a"),
+            "set_a",
             "set_b",
             F.col("id").alias("copy_id"),
             F.coalesce("class_id", "id").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.coalesce("component", "class").alias("class_hash"),
         )
     )
     # A large class of copies is spread over the salts.
@@ -328,6 +370,7 @@ def _find_duplicates(docs: DataFrame, threshold: float, recall: float, seats: in
             F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
             "n_shingles",
             "text_hash",
+            "class_hash",
         )
     )
 
@@ -345,14 +388,21 @@ def drop_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near duplicates: of every class the smallest doc_id stays.
+    """The documents without near duplicates: of every class one row with the smallest doc_id stays.
 
-    Texts without words have no duplicates. Of rows that agree in id and text one stays.
+    Texts without words have no duplicates. Of the class's rows that share the smallest id,
+    the one whose text has the smallest hash stays, once.
     """
-    found = near_duplicates(docs, **options)
+    found = _classes(docs, **options)
     linked = found.where("n_links > 0")
-    first = F.coalesce(F.col("doc_id").cast("bigint"), F.col("text_hash")) == F.col("class_id")
-    kept = drop_rows(docs, linked.where(~first))
+    kind = found.schema["class_id"].dataType
+    first = F.coalesce(F.col("doc_id").cast(kind), F.col("text_hash").cast(kind)) == F.col("class_id")
+    # Different texts may share the class's id: of them the one with the smallest hash stays.
+    firsts = materialize(linked.where(first).select("doc_id", "class_hash", "text_hash").distinct(), "firsts")
+    smallest = firsts.groupBy("class_hash").agg(F.min("text_hash").alias("__smallest"))
+    others = firsts.join(smallest, "class_hash").where(F.col("text_hash") != F.col("__smallest"))
+    rejected = linked.where(~first).select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash"))
+    kept = drop_rows(docs, rejected)
     repeated = materialize(
         linked.where(first).groupBy("doc_id", "text_hash").count().where("count > 1"), "repeated_rows"
     )

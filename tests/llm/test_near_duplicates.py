@@ -43,8 +43,24 @@ def corpus(seed):
     return list(enumerate(texts, 100))
 
 
-@pytest.mark.parametrize("seats", [256, 4])
-def test_equals_all_pairs(spark, seats):
+def test_ids_of_any_type(spark):
+    data = corpus(1)[:60]
+    docs = spark.createDataFrame([(f"k{i}", t) for i, t in data] + [(None, data[0][1])], "doc_id string, text string")
+    links, group = plain([*data, (None, data[0][1])])
+    first = {}
+    for (i, _), g in zip(data, group, strict=False):
+        first[g] = min(first.get(g, i), i)
+    got = {r.doc_id: r for r in op.near_duplicates(docs).collect()}
+    for (i, _), n, g in zip(data, links, group, strict=False):
+        linked_to_null = g == group[-1] and n > 0
+        assert got[f"k{i}"].n_links == n and (linked_to_null or got[f"k{i}"].class_id == f"k{first[g]}")
+    kept = {r.doc_id for r in op.one_of_each_class(docs).collect()} - {None}
+    assert {f"k{v}" for g, v in first.items() if g != group[-1]} <= kept
+
+
+@pytest.mark.parametrize("seats, shingles", [(256, 10**6), (4, 10**6), (256, 500)])
+def test_equals_all_pairs(spark, monkeypatch, seats, shingles):
+    monkeypatch.setattr(op, "BLOCK_SHINGLES", shingles)
     data = corpus(1)
     docs = spark.createDataFrame([(i, t, 0) for i, t in data], "doc_id bigint, text string, class_id int")
     got = {r.doc_id: r for r in op.near_duplicates(docs, seats=seats).collect()}
@@ -93,3 +109,14 @@ def test_odd_rows(spark):
         [("1", 26, 2), ("1", 26, 2), ("None", 26, 2), ("1", 1, 1), ("3", 1, 1), ("None", 0, 0), ("2", 0, 0)]
     )
     assert op.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_class_also_under_one_id(spark):
+    words = [f"t{i}" for i in range(60)]
+    near = [" ".join(words), " ".join(["other", *words[1:]]), " ".join([*words[:-1], "end"])]
+    far = " ".join(f"z{i}" for i in range(60))
+    data = [(1, near[0]), (1, near[1]), (1, near[1]), (2, near[2]), (1, far), (None, far + " more"), (3, ""), (3, "")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    rows = [(r.doc_id, r.text) for r in op.one_of_each_class(docs).collect()]
+    assert sum(t in near for _, t in rows) == 1 and sum(t.startswith("z0") for _, t in rows) == 1
+    assert rows.count((3, "")) == 2 and len(rows) == 4
