@@ -24,7 +24,9 @@ THRESHOLD = 0.7
 # The fit reads about SHARDS * DOCS_PER_SHARD labelled documents, however many there are.
 SHARDS = 4
 DOCS_PER_SHARD = 7000
-# A broadcast model holds at most so many weights of 16 bytes; the smallest go first.
+# Rows that the ids of the sample may have on average; beyond that the fit fails openly.
+MAX_ROWS_PER_ID = 4
+# A broadcast model holds at most so many weights of 16 bytes; one of more fails.
 MAX_WEIGHTS = 200_000
 BIAS = 0
 # A feature of fewer sample documents of a shard takes no part in the fit.
@@ -135,6 +137,9 @@ def fit(
     draw = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000))
     # About shards * docs_per_shard rows of two numbers, so their size is bounded.
     chosen = known.where(draw < F.lit(int(share * 1_000_000) or 1))
+    most = MAX_ROWS_PER_ID * shards * docs_per_shard
+    if docs.select("doc_id").join(F.broadcast(chosen), "doc_id").count() > most:
+        raise ValueError(f"the sampled ids have more than {most} rows; take a smaller sample")
     shard = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(shards)).cast("int")
     sample = (
         docs.select("doc_id", F.col("text").cast("string").alias("__text"))
