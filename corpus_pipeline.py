@@ -26,7 +26,11 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold; their rows stay as they are."""
+    """Documents whose toxicity score is below the threshold; their rows stay as they are.
+
+    Null and empty texts are scored by the bias alone. Repeated rows are scored one by one and
+    stay repeated. Without labels every score is 0 and all stay. An empty table stays empty.
+    """
     bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = with_scores(docs, labels, "__toxicity")
@@ -34,25 +38,42 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Texts without words, null ones among them, have no duplicates and stay, as often as they
+    are there. Of rows that share the smallest id one stays, by the smallest hash of its text. A
+    row without an id goes by that hash. An empty table stays empty.
+    """
     bound_batches(spark)
     return one_of_each_class(docs).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents that are not contaminated by benchmark items.
+
+    Null texts have no words and stay. Rows that share an id are judged by their own texts;
+    repeated rows stay or go together. Without items all stay.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     judged = decontaminate(docs, items)
     return drop_rows(docs, judged.where("contaminated")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of the documents in the target ratio of their sources, shuffled globally."""
+    """Copies of the documents in the target ratio of their sources, shuffled globally.
+
+    A null source is one of its own. Repeated rows share their draw, so each gets as many
+    copies. An empty table stays empty.
+    """
     return mix(docs, root_weights(docs)).select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids written as binary chunks, and their digests read back from these files."""
+    """Token ids written as binary chunks, and their digests read back from these files.
+
+    A null text is an empty one and has the end id alone. Repeated rows are written each;
+    rows that share an id go by their text. An empty table gives no rows.
+    """
     bound_batches(spark)
     return token_digests(spark, docs)
 
