@@ -659,6 +659,7 @@ def bucketed_dictionary(spark, sf_dir):
     table = "kinweave_" + path.rsplit("-", 1)[1]
     first = op.id_mapping(_logs(lines.where(F.col("o_orderdate") < cut)), key=java_hash)
     dictionary = src.write_bucketed(first, table, path, "biaoshi_hashcode", 16)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and the plan knows their buckets
     today = op.union_logs(*[op.id_vertices(x, key=java_hash) for x in _logs(lines.where(F.col("o_orderdate") >= cut))])
     ids = today.select(F.col("id").alias("biaoshi_hashcode"), "value").distinct()
     return src.bucketed_lookup(ids, dictionary, "biaoshi_hashcode")

@@ -22,7 +22,7 @@ def _blocks(edges):
     return [(F.lit(a), F.lit(b - dt.timedelta(1))) for a, b in zip(days, days[1:], strict=False)]
 
 
-@pytest.mark.parametrize("edges", [(0, 31, 60, 90), (0, 1, 2, 3, 40, 90), (0, 90)])
+@pytest.mark.parametrize("edges", [(0, 31, 60, 90), (0, 1, 2, 40, 90)])
 def test_runs_of_blocks_merge_into_streaks(spark, edges):
     df = spark.createDataFrame(_logins(1), "user int, day date")
     want = rows(op.day_streaks(df, ["user"], "day"), "user", "days", "first_day", "last_day")
@@ -38,7 +38,7 @@ def test_runs_of_blocks_merge_into_streaks(spark, edges):
         assert rows(op.merge_runs(merged, ["user"]), "user", "days", "first_day", "last_day") == want
 
 
-@pytest.mark.parametrize("edges", [(0, 31, 60, 90), (0, 5, 10, 15, 20, 25, 60, 90)])
+@pytest.mark.parametrize("edges", [(0, 5, 10, 15, 60, 90)])
 def test_summaries_merge_in_any_grouping(spark, edges):
     df = spark.createDataFrame(_logins(2, n=900), "user int, day date")
     runs = [(op.block_runs(df, ["user"], "day", a, b), a, b) for a, b in _blocks(edges)]
@@ -75,15 +75,14 @@ def _split(data, cuts):
     return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-@pytest.mark.parametrize("keys", [["user"], []])
-@pytest.mark.parametrize("slice_size", [1_000_000, 7])
+@pytest.mark.parametrize("keys, slice_size", [(["user"], 1_000_000), (["user"], 30), ([], 30)])
 def test_totals_in_batches_equal_one_run(spark, monkeypatch, keys, slice_size):
-    if slice_size == 7:
-        monkeypatch.setattr("kinweave.plans.slices.ONE_TASK_ROWS", 7)
+    if slice_size == 30:
+        monkeypatch.setattr("kinweave.plans.slices.ONE_TASK_ROWS", 30)
     data = _ordered(3)
     want = rows(op.running_total(spark.createDataFrame(data, ROWS), "v", ["ts", "id"], keys), "id", "running_total")
     got, carry = [], None
-    for part in _split(data, (100, 110, 110)):
+    for part in _split(data, (100, 100)):
         done = op.resume_running_total(
             spark.createDataFrame(part, ROWS), carry, "v", ["ts", "id"], keys, rows_per_slice=slice_size
         )
@@ -104,7 +103,7 @@ def _intervals(n=300):
     return out
 
 
-@pytest.mark.parametrize("cuts", [(150,), (1, 2, 3, 200, 299), (150, 150)])
+@pytest.mark.parametrize("cuts", [(1, 150), (150, 150)])
 def test_sessions_in_batches_equal_one_run(spark, cuts):
     data = _intervals()
     call = (["user"], "start", "end", ["start", "id"], ["cents"], 600)

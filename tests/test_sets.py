@@ -27,7 +27,7 @@ def test_old_ids_survive_and_new_ones_are_dense(spark, tmp_path):
     path = str(tmp_path / "ids")
     random.seed(1)
     seen = {}
-    for day in range(4):
+    for day in range(3):
         values = [random.choice("xyzäß") + str(random.randint(0, 150)) for _ in range(120)] + [None]
         grown = dict(rows(op.grow_string_ids(spark, path, f"d{day}", _strings(spark, values), rows_per_slice=9)))
         assert seen.items() <= grown.items()
