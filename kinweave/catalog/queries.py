@@ -17,7 +17,7 @@ from kinweave.functions import (
     url_host,
 )
 from kinweave.plans.bloom import pruned_lookup as bloom_pruned_lookup
-from kinweave.plans.storage import checkpoint_read, checkpoint_write, scratch_path
+from kinweave.plans.storage import checkpoint_read, checkpoint_write, materialize, scratch_path
 from kinweave.streaming import read_corrupt_lines, read_intake, take_in_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,7 +464,8 @@ def container_rollup(spark, sf_dir):
     lines = _table(spark, sf_dir, "lineitem")
     found = []
     for what in ("l_orderkey", "l_suppkey"):
-        fine = op.container_build(lines, ["l_linestatus", "l_returnflag", "l_linenumber"], what)
+        built = op.container_build(lines, ["l_linestatus", "l_returnflag", "l_linenumber"], what)
+        fine = materialize(built, "containers")
         coarse = op.container_merge(fine, ["l_linestatus"])
         counts = op.container_cardinality(coarse, ["l_linestatus"])
         found.append(counts.withColumn("what", F.lit(what)))

@@ -33,6 +33,7 @@ from kinweave.operators.incremental import (
     apply_delta,
     id_mapping_delta,
     id_mapping_incremental,
+    merge_deltas,
 )
 from kinweave.operators.lookup import (
     append_lookup_text,
@@ -106,6 +107,7 @@ __all__ = [
     "id_mapping_rolling",
     "id_vertices",
     "keyed_lookup",
+    "merge_deltas",
     "merge_runs",
     "merge_summaries",
     "new_string_ids",

@@ -65,7 +65,8 @@ def container_merge(containers: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     A bucket with a bitmap in it stays dense: the arrays beside it become bits of one more
     bitmap and all are combined by OR, map-side first. A bucket of arrays alone is put
-    together from their distinct places and may become a bitmap.
+    together from their distinct places and may become a bitmap. The input is read once per
+    kind: give it a stored table.
     """
     keys = list(keys)
     of_bucket = [*keys, "bucket"]

@@ -103,6 +103,25 @@ def apply_delta(previous: DataFrame, delta: DictionaryDelta) -> DataFrame:
     return renamed.unionByName(delta.added)
 
 
+def merge_deltas(deltas: Sequence[DictionaryDelta]) -> DictionaryDelta:
+    """Several days' deltas as one, so a stored dictionary is joined once for all of them.
+
+    A person moves to the smallest id of those that turned out to be one, day after day, so
+    where the moves lead is the smallest id that they connect. Both tables are stored.
+    """
+    with keeping_only(deltas[0].added.sparkSession) as kept:
+        moves = union_logs(*[d.moved.select(F.col(GUID).alias("src"), F.col("new_guid").alias("dst")) for d in deltas])
+        labels = connected_components(moves)
+        moved = labels.where("id <> component").select(
+            F.col("id").alias(GUID), F.col("component").alias("new_guid")
+        )
+        kept.append(materialize(moved, "moved_persons"))
+        added = union_logs(*[d.added for d in deltas])
+        renamed = lookup_join(added, kept[0], [GUID]).select(KEY, F.coalesce("new_guid", GUID).alias(GUID))
+        kept.append(materialize(renamed, "added_ids"))
+    return DictionaryDelta(added=kept[1], moved=kept[0])
+
+
 def id_mapping_incremental(
     logs: Sequence[DataFrame],
     previous: DataFrame,

@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from kinweave import operators as op
+from kinweave import sources as src
 from kinweave.functions import java_hash, wide_key
 from kinweave.operators import incremental, pruning
 
@@ -30,16 +31,20 @@ def _lists(names, n, seed):
 @pytest.mark.parametrize("seed", range(2))
 def test_three_days_equal_the_rolling_mapping(spark, seed):
     days = [_day(spark, _lists([f"v{k}" for k in range(10 * d, 10 * d + 40)], 25, 10 * seed + d)) for d in range(3)]
-    whole = steps = op.id_mapping(days[0], key=text)
+    base = whole = steps = op.id_mapping(days[0], key=text)
+    deltas = []
     for day in days[1:]:
         whole = op.id_mapping_rolling(day, whole, key=text)
         delta = op.id_mapping_delta(day, steps, key=text)
+        deltas.append(delta)
         before = {r.biaoshi_hashcode: r.guid for r in steps.collect()}
         steps = op.apply_delta(steps, delta)
         assert rows(steps) == rows(whole)
         assert not {r.biaoshi_hashcode for r in delta.added.collect()} & set(before)
         for r in delta.moved.collect():
             assert r.new_guid < r.guid and {r.guid, r.new_guid} <= set(before.values())
+    assert deltas[0].moved.count() + deltas[1].moved.count() > 0
+    assert rows(op.apply_delta(base, op.merge_deltas(deltas))) == rows(whole)
 
 
 def test_rounds_read_touched_persons_only(spark, monkeypatch):
@@ -61,6 +66,24 @@ def test_the_dictionary_is_not_shuffled(spark):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
+def test_a_bucketed_dictionary_stays_in_its_buckets(spark, tmp_path, monkeypatch):
+    previous = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("biaoshi_hashcode"), F.lit("k0").alias("guid"))
+    stored = src.write_bucketed(previous, "kinweave_previous", str(tmp_path / "d"), "biaoshi_hashcode", 16)
+    spark.sql("DROP TABLE kinweave_previous")
+    monkeypatch.setattr(incremental, "fits_broadcast", lambda df: False)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        ids = spark.createDataFrame([("k1",), ("x",)], "id string")
+        found = incremental._known_ids(ids, stored)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+        assert rows(found) == [("k1", "k0")]
+    finally:
+        spark.conf.set(threshold, before)
+
+
 def test_empty_days_and_dictionaries(spark):
     none = spark.createDataFrame([], DICTIONARY)
     day = _day(spark, [["a", "b"]] * 3 + [["c"], []])

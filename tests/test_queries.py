@@ -1,8 +1,13 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import importlib
+import importlib.util
+import sys
+
 import duckdb
 import pytest
 
+import __spark_entry__ as contract
 from __spark_entry__ import entry, oracle_sql, queries
 from kinweave.catalog import ORACLES, QUERIES
 
@@ -43,3 +48,29 @@ def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["biaoshi_hashcode", "guid"]
     assert df.count() > 0
+
+
+@pytest.fixture
+def reloaded(monkeypatch):
+    """The entry module under a condition, and as it was afterwards."""
+    yield lambda: importlib.reload(contract)
+    monkeypatch.undo()
+    importlib.reload(contract)
+
+
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "kinweave.llm"])
+def test_the_optional_subpackage_may_be_missing(reloaded, monkeypatch, gone):
+    for name in [n for n in sys.modules if n == gone or n.startswith((gone + ".", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, gone, None)
+    assert set(reloaded().queries()) == set(QUERIES)
+    assert set(contract.oracle_sql()) == set(ORACLES)
+
+
+@pytest.mark.skipif(importlib.util.find_spec("kinweave.llm") is None, reason="the subpackage is not there")
+def test_what_it_imports_may_not(reloaded, monkeypatch):
+    for name in [n for n in sys.modules if n.startswith(("kinweave.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    with pytest.raises(ModuleNotFoundError, match="zstandard"):
+        reloaded()
