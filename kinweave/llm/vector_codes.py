@@ -31,20 +31,24 @@ ENTRIES = 256
 ROUNDS = 4
 # Larger whole numbers would take squared distances beyond 64 bits.
 LARGEST = 1 << 26
-# Vectors whose parts make up one trie, and leaves whose distances are held at a time.
+# Vectors whose parts make up one trie, and leaves of small subtrees that are finished together.
 _VECTORS_PER_TRIE = 1 << 15
 _LEAVES = 512
 
 
-def _distances(leaves: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """Squared distances of sorted leaves to all entries, shared along common prefixes."""
+def _distances(leaves: np.ndarray, entries: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Squared distances of sorted leaves to all entries, shared along common prefixes.
+
+    ``above`` holds the distances that the leaves' common node has accumulated; the dimensions
+    are those below it. Every level holds one row per node.
+    """
     n, dims = leaves.shape
     differs = np.empty((n, dims), bool)
     differs[0] = True
     # A leaf opens a node at every level from the first dimension it does not share on.
     np.logical_or.accumulate(leaves[1:] != leaves[:-1], axis=1, out=differs[1:])
     node = np.zeros(n, np.int64)  # of the level above, for each leaf
-    above = np.zeros((1, len(entries)), leaves.dtype)
+    above = above[None, :]
     for d in range(dims):
         opened = np.flatnonzero(differs[:, d])
         step = leaves[opened, d][:, None] - entries[:, d][None, :]
@@ -54,22 +58,47 @@ def _distances(leaves: np.ndarray, entries: np.ndarray) -> np.ndarray:
     return above if len(above) == n else above[node]
 
 
+def _subtrees(leaves: np.ndarray, depth: int) -> list[tuple[int, int, bool]]:
+    """The children of a node in order, as (begin, end, alone): neighbours of together at most
+    _LEAVES leaves make one run, and a child of more stands alone."""
+    first = np.concatenate([[0], np.flatnonzero(leaves[1:, depth] != leaves[:-1, depth]) + 1])
+    runs: list[tuple[int, int, bool]] = []
+    for begin, end in zip(first.tolist(), [*first[1:].tolist(), len(leaves)], strict=True):
+        alone = end - begin > _LEAVES
+        if runs and not alone and not runs[-1][2] and end - runs[-1][0] <= _LEAVES:
+            runs[-1] = (runs[-1][0], end, False)
+        else:
+            runs.append((begin, end, alone))
+    return runs
+
+
 def nearest(leaves: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest entry of each leaf (the lower one of equals) and its squared distance.
 
-    ``leaves`` are distinct and in lexicographic order; a subtree's worth of them is held at
-    a time. All numbers are whole, so distances are exact.
+    ``leaves`` are distinct and in lexicographic order. The trie is gone through depth first:
+    a node adds its dimension's term to the distances that its parent accumulated, and runs
+    of small subtrees are finished together from their parent's. All numbers are whole, so
+    distances are exact.
     """
     bound = max(int(np.abs(leaves).max(initial=0)), int(np.abs(entries).max(initial=0)))
     small = 4 * bound * bound * leaves.shape[1] < 1 << 31
     kind = np.int32 if small else np.int64
     leaves, entries = leaves.astype(kind), entries.astype(kind)
     best, error = np.empty(len(leaves), np.int64), np.empty(len(leaves), np.int64)
-    for at in range(0, len(leaves), _LEAVES):
-        far = _distances(leaves[at : at + _LEAVES], entries)
-        chosen = far.argmin(axis=1)
-        best[at : at + _LEAVES] = chosen
-        error[at : at + _LEAVES] = far[np.arange(len(far)), chosen]
+    todo = [(0, len(leaves), 0, np.zeros(len(entries), kind))] if len(leaves) else []
+    while todo:
+        begin, end, depth, above = todo.pop()
+        if end - begin <= _LEAVES:
+            far = _distances(leaves[begin:end, depth:], entries[:, depth:], above)
+            chosen = far.argmin(axis=1)
+            best[begin:end], error[begin:end] = chosen, far[np.arange(len(far)), chosen]
+            continue
+        for a, b, alone in reversed(_subtrees(leaves[begin:end], depth)):
+            if alone:
+                term = leaves[begin + a, depth] - entries[:, depth]
+                todo.append((begin + a, begin + b, depth + 1, above + term * term))
+            else:
+                todo.append((begin + a, begin + b, depth, above))
     return best, error
 
 

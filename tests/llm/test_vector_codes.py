@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -81,8 +82,13 @@ def test_small_tries_give_the_same(spark, monkeypatch):
 numbers = st.lists(st.lists(st.integers(-3, 3), min_size=5, max_size=5), min_size=1, max_size=40)
 
 
-@given(numbers, numbers, st.sampled_from([1, 1 << 24]))
-def test_trie_distances_are_exact(parts, entries, scale):
+@given(numbers, numbers, st.sampled_from([1, 1 << 24]), st.sampled_from([1, 2, 5, 512]))
+def test_trie_distances_are_exact(parts, entries, scale, block):
+    with mock.patch.object(op, "_LEAVES", block):
+        check_distances(parts, entries, scale)
+
+
+def check_distances(parts, entries, scale):
     leaves, place, counts = op.sorted_parts(np.array(parts) * scale)
     assert [tuple(r) for r in leaves.tolist()] == sorted({tuple(scale * x for x in p) for p in parts})
     assert (leaves[place] == np.array(parts) * scale).all() and counts.sum() == len(parts)
@@ -98,10 +104,16 @@ def test_shared_prefixes_are_counted_once(monkeypatch):
     whole = np.flatnonzero
     monkeypatch.setattr(op.np, "flatnonzero", lambda x: seen.append(len(found := whole(x))) or found)
     leaves = np.array([[1, 2, k] for k in range(10)] + [[1, 3, k] for k in range(10)])
-    op._distances(leaves, leaves[:4])
+    op._distances(leaves, leaves[:4], np.zeros(4, np.int64))
     assert seen == [1, 2, 20]
 
 
+def test_subtrees_are_entered_in_order():
+    leaves = np.array([[0, 0], [0, 1], [1, 0], [2, 0], [2, 1], [2, 2], [2, 3], [3, 0]])
+    with mock.patch.object(op, "_LEAVES", 3):
+        assert op._subtrees(leaves, 0) == [(0, 3, False), (3, 7, True), (7, 8, False)]
+
+
 def test_vectors_come_back(spark):
     rows = [(i, [float(i % 3), 0.5, -0.25, float(i % 3)] * 2, 1) for i in range(50)]
     df = spark.createDataFrame(rows, TABLE)
