@@ -131,4 +131,4 @@ def test_errors_of_the_sketch_are_one_sided(spark):
         left = [r[0] for r in kept.collect()]
         assert sum(map(len, left)) <= sum(map(len, data)) and ends <= {v for x in left for v in x}
     pairs = lambda some: sum(len(x) * (len(x) - 1) // 2 for x in some)
-    assert pairs(left) < pairs(data) / 4
+    assert pairs(left) < pairs(data) / 2
