@@ -13,6 +13,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_dirs: dict[str, str] = {}
 # Paths that this process has given out and nobody has deleted yet.
 _live: set[str] = set()
@@ -89,6 +91,17 @@ def keeping_only(spark: SparkSession) -> Iterator[list[DataFrame]]:
             _delete(spark, path)
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Every query run inside deletes its shuffle files when it ends, not when its plan is collected."""
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SHUFFLE_CLEANUP) if before is None else spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete every table stored so far; DataFrames that read one can no longer be run."""
     paths = list(_live)

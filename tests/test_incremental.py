@@ -132,3 +132,43 @@ def test_errors_of_the_sketch_are_one_sided(spark):
         assert sum(map(len, left)) <= sum(map(len, data)) and ends <= {v for x in left for v in x}
     pairs = lambda some: sum(len(x) * (len(x) - 1) // 2 for x in some)
     assert pairs(left) < pairs(data) / 2
+
+
+def test_more_identifiers_than_counters_are_pruned_all_the_same(spark, monkeypatch):
+    """A full sketch prunes nothing; counts by hash do, and pairs go by their own counts."""
+    data = _rows_of_ids()
+    df = spark.createDataFrame([(x,) for x in data], "ids array<string>")
+    counted, whole = [], pruning.frequent_edges
+    monkeypatch.setattr(pruning, "frequent_edges", lambda p, n: counted.append(p.count()) or whole(p, n))
+    got = rows(op.frequent_pairs(df, key=text, width=50))
+    assert got == rows(whole(op.pair_edges(df, key=text)))
+    frequent = sum(r[2] for r in got)
+    assert frequent <= counted[0] < 1.2 * frequent < sum(len(x) * (len(x) - 1) // 2 for x in data) / 2
+
+
+def test_a_filter_that_is_too_small_loses_no_hash(spark):
+    hashes = spark.range(3000).select(F.xxhash64("id").alias("h"), F.lit(3).alias("w"))
+    heavy = pruning.heavy_filter(hashes, 2, max_rows=1)
+    assert heavy.words == 8 and pruning.keep_heavy(hashes, F.col("h"), heavy).count() == 3000
+    assert pruning.keep_heavy(hashes, F.col("h"), pruning.heavy_filter(hashes, 3)).count() == 0
+
+
+def test_long_rows_count_by_what_is_left_of_them(spark):
+    def pairs(rare, common):
+        row = [f"r{k}" for k in range(rare)] + [f"c{k}" for k in range(common)]
+        df = spark.createDataFrame([(row,)] + [(["c0", "c1"],)] * 3, "ids array<string>").repartition(2)
+        others = spark.createDataFrame([([f"c{k}"],) for k in range(common)] * 2, "ids array<string>")
+        return rows(op.frequent_pairs(df.unionByName(others), key=text, width=50))
+
+    assert pairs(2100, 3) == [("c0", "c1", 4)]
+    with pytest.raises(Exception, match="too many identifiers in one row: 2100"):
+        pairs(0, 2100)
+
+
+def test_shuffle_files_do_not_outlive_a_step(spark):
+    from kinweave.plans import storage
+
+    before = spark.conf.get(storage._SHUFFLE_CLEANUP, None)
+    with storage.dropping_shuffles(spark):
+        assert spark.conf.get(storage._SHUFFLE_CLEANUP) == "true"
+    assert spark.conf.get(storage._SHUFFLE_CLEANUP, None) == before
