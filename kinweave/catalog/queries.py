@@ -16,6 +16,7 @@ from kinweave.functions import (
     tokens,
     url_host,
 )
+from kinweave.operators.relational import explode_items
 from kinweave.plans.bloom import pruned_lookup as bloom_pruned_lookup
 from kinweave.plans.storage import checkpoint_read, checkpoint_write, materialize, scratch_path
 from kinweave.streaming import read_corrupt_lines, read_intake, take_in_logs
@@ -448,9 +449,8 @@ def bitmap_distinct_strings(spark, sf_dir):
 @_query
 def bitmap_distinct_exact(spark, sf_dir):
     """Different words per language, by numbers that two batches of documents gave them."""
-    words = _table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", F.explode(tokens("text")).alias("word")
-    )
+    docs = _table(spark, sf_dir, "documents")
+    words = materialize(explode_items(docs, tokens("text"), "word", "doc_id", "lang"), "words")
     path = scratch_path(spark, "string_ids")
     op.grow_string_ids(spark, path, "even", words.where(F.col("doc_id") % 2 == 0), "word")
     ids = op.grow_string_ids(spark, path, "all", words, "word")
@@ -626,7 +626,8 @@ def id_mapping_log_files(spark, sf_dir):
     for flag in ("A", "N", "R"):
         path = scratch_path(spark, "event_log")
         src.write_text(_log_lines(lines.where(F.col("l_returnflag") == flag)), path, columns=["value"])
-        logs.append(op.event_ids(src.read_event_log(spark, path)))
+        # Two operators read the identifiers: a line is parsed for both at once.
+        logs.append(materialize(op.event_ids(src.read_event_log(spark, path)).select("ids"), "log_ids"))
     people = op.id_mapping(logs).withColumnRenamed("biaoshi_hashcode", "id")
     names = op.union_logs(*[op.id_vertices(log) for log in logs]).distinct()
     return (

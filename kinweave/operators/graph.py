@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.scalars import nonblank_items, wide_key
+from kinweave.operators.relational import explode_items
 from kinweave.plans.joins import ROWS_PER_TASK, shuffled_lookup
-from kinweave.plans.storage import discard, keeping_only, materialize
+from kinweave.plans.storage import discard, keeping_only, materialize, small_tasks
 
 
 def id_vertices(
     df: DataFrame, ids: str = "ids", key: Callable[[Column], Column] = wide_key
 ) -> DataFrame:
     """One ``(id, value)`` row per identifier in the arrays."""
-    return df.select(F.explode(ids).alias("value")).select(key(F.col("value")).alias("id"), "value")
+    return explode_items(df, ids, "value").select(key(F.col("value")).alias("id"), "value")
 
 
 # More identifiers in one row than this fail the job: their pairs would be half its square.
@@ -82,16 +83,18 @@ def vertices_and_edges(
     """Distinct vertices ``(id)`` and frequent pair edges ``(src, dst)`` in one pass.
 
     A vertex travels as a pair without a second end, so the source is parsed and hashed
-    once and one aggregate serves both. The result is stored, far smaller than the source.
+    once and one aggregate serves both. Its tables of pairs are many times the size of what a task
+    reads, so tasks are kept small. The result is stored, far smaller than the source.
     """
     counted = (
         _pairs(_keys(df, ids, key), with_self=True)
         .groupBy("src", "dst")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    kept = materialize(
-        counted.where(F.col("dst").isNull() | (F.col("n") > more_than)).drop("n"), "graph"
-    )
+    with small_tasks(df.sparkSession):
+        kept = materialize(
+            counted.where(F.col("dst").isNull() | (F.col("n") > more_than)).drop("n"), "graph"
+        )
     return _split_graph(kept)
 
 
@@ -107,7 +110,8 @@ def chain_vertices_and_edges(
     links = hashed.select(F.posexplode("__keys").alias("__i", "src"), "__keys").select(
         "src", F.get("__keys", F.col("__i") + F.lit(1)).alias("dst")
     )
-    return _split_graph(materialize(links.distinct(), "graph"))
+    with small_tasks(df.sparkSession):
+        return _split_graph(materialize(links.distinct(), "graph"))
 
 
 def _split_graph(kept: DataFrame) -> tuple[DataFrame, DataFrame]:

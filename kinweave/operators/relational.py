@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.scalars import tokens
 
 
+def explode_items(df: DataFrame, items: Column | str, name: str, *others: str) -> DataFrame:
+    """A row per item of the arrays, beside the columns ``others``.
+
+    Spark infers a filter on the size of an exploded array, which would make every array again
+    below the explode. The arrays leave an explode of one item each, and no filter is pushed through it.
+    """
+    whole = df.select(*others, F.explode(F.array(items)).alias("__items"))
+    return whole.select(*others, F.explode("__items").alias(name))
+
+
 def word_count(lines: DataFrame, text: str = "value") -> DataFrame:
     """Count of every whitespace token; partial counts are made before the shuffle."""
-    words = lines.select(F.explode(tokens(text)).alias("word"))
+    words = explode_items(lines, tokens(text), "word")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -9,11 +9,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Tasks of ``small_tasks`` read so many bytes of a shuffle or a file, while there are at most so many.
+_SMALL_TASK = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20,
+    "spark.sql.files.maxPartitionBytes": 16 << 20,
+}
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_MOST_TASKS = 2_000
 
 _local_dirs: dict[str, str] = {}
 # Paths that this process has given out and nobody has deleted yet.
@@ -92,14 +99,34 @@ def keeping_only(spark: SparkSession) -> Iterator[list[DataFrame]]:
 
 
 @contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Every query run inside deletes its shuffle files when it ends, not when its plan is collected."""
-    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
-    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the queries run inside."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_SHUFFLE_CLEANUP) if before is None else spark.conf.set(_SHUFFLE_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def dropping_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Every query run inside deletes its shuffle files when it ends, not when its plan is collected."""
+    return _settings(spark, {_SHUFFLE_CLEANUP: "true"})
+
+
+def small_tasks(spark: SparkSession) -> AbstractContextManager[None]:
+    """Tasks of the queries run inside read so little that an aggregate that combines nothing stays small.
+
+    Their number grows with the rows instead. Smaller settings of the session stay as they are.
+    """
+    def number(name: str) -> int:  # bytes of a size; Spark itself reads its units
+        return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+
+    first = spark.conf.get(_INITIAL, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    sizes = {name: str(min(number(name), size)) for name, size in _SMALL_TASK.items()}
+    return _settings(spark, sizes | {_INITIAL: str(max(int(first), _MOST_TASKS))})
 
 
 def clear_scratch(spark: SparkSession) -> int:

@@ -6,6 +6,7 @@ from conftest import rows
 
 from kinweave import operators as op
 from kinweave.functions import java_hash
+from kinweave.operators import graph
 from kinweave.plans import storage
 
 
@@ -166,3 +167,21 @@ def test_storage_holds_only_the_result_and_then_nothing(spark):
         assert op.id_mapping(logs).count() == 2
         assert len({p.name for p in folder.iterdir()} - kept) == 1
     assert {p.name for p in folder.iterdir()} == kept
+
+
+def test_vertices_are_taken_from_lines_that_are_parsed_once(spark):
+    log = _log(spark, [_line("u", imei="i"), _line()])
+    plan = op.id_vertices(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") + plan.count("jsontostructs") == 1
+    assert rows(op.id_vertices(log), "value") == [("i",), ("u",)]
+
+
+def test_tasks_of_the_pairs_are_small(spark, monkeypatch):
+    names = [*storage._SMALL_TASK, storage._INITIAL]
+    before, seen, whole = [spark.conf.get(n, None) for n in names], [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda *a: seen.append([spark.conf.get(n) for n in names]) or whole(*a))
+    df = spark.createDataFrame([(["a", "b"],)] * 3, "ids array<string>")
+    vertices, edges = graph.vertices_and_edges(df, key=lambda c: c)
+    assert (rows(vertices), rows(edges)) == ([("a",), ("b",)], [("a", "b")])
+    assert [int(x) for x in seen[0]] == [8 << 20, 16 << 20, 2000]
+    assert [spark.conf.get(n, None) for n in names] == before

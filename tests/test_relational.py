@@ -51,3 +51,10 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df = op.conjunctive_filter(spark.read.parquet(str(tmp_path / "t")), "id < 4", "id < 3")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(id,4)" in plan and "LessThan(id,3)" in plan
+
+
+def test_a_text_is_split_once_for_its_words(spark):
+    df = spark.createDataFrame([("a b a",), ("",), (" ",), (None,)], "value string")
+    plan = op.word_count(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert rows(op.word_count(df)) == [("", 1), ("a", 2), ("b", 1)]
