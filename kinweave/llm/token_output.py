@@ -13,31 +13,35 @@ a lost executor costs a retried task; the other columns are the chunk index.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from kinweave.llm.text import words_of
 from kinweave.plans.joins import lookup_join
 
 BLOCK = 4096
 IDS_PER_CHUNK = 1 << 17
 DOCS_PER_CHUNK = 4096
 END_ID = 2
-# Words whose ids a worker remembers; beyond that it starts afresh, which changes no result.
-CACHED_WORDS = 400_000
+# Pieces and their ids that a worker remembers; beyond that it goes on with those of the last
+# texts, which changes no result.
+CACHED_BYTES = 32 << 20
+# Text that is encoded at a time, each row counted with some bytes more; one text may be longer.
+GROUP_BYTES, ROW_BYTES = 8 << 20, 64
+# Pieces or words that go to the tokenizer at a time.
+TOKENIZED = 1 << 14
 _HEADER = struct.Struct("<4sBBHIQ")
 _MAGIC, _VERSION, _PLANES = b"PLNZ", 1, {"byte": 4, "bit": 32}
+_IDS = pa.large_list(pa.uint32())
 
 
 def _planes(block: np.ndarray, unit: str) -> np.ndarray:
@@ -91,17 +95,20 @@ def decode_chunk(data: bytes) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer, each different word encoded once.
+    """Ids of texts by a tokenizer, each different piece of a group of texts encoded once.
 
     For a tokenizer that splits at white space anyway, the ids of a text are those of its
     words. Words of printable Latin-1 letters are normalised and cut here and their pieces
     given to the tokenizer's model in one go; every other word, and one that may hold a
     special token, goes through the whole tokenizer. ``tests/llm`` holds both against encoding whole texts.
+    Texts, words and pieces stay Arrow columns; only pieces not met before become strings.
     """
 
     # The split pattern of the tokenizer file and the byte alphabet of GPT-2.
-    _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    _PLAIN = re.compile("[!-~¡-¬®-ÿ]+")
+    _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    _PLAIN = "^[!-~¡-¬®-ÿ]+$"
+    # Pieces that go to the model as one line.
+    _LINE = 256
 
     def __init__(self, path: str):
         import tokenizers
@@ -112,71 +119,128 @@ class WordEncoder:
         self.ends = np.zeros(max(self.full.get_vocab(True).values()) + 1, bool)
         for token, i in self.full.get_vocab(False).items():
             self.ends[i] = token.endswith("</w>")
-        kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        moved = (b for b in range(256) if b not in kept)
-        self.alphabet = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
-        self.words: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain, spans, pieces, rest = [], [0], [], []
-        for word in words:
-            core, mark = (word[:-1], word[-1:]) if word[-1] in b".,;:!?" else (word, b"")
-            if core.isalpha():  # ASCII letters are one piece, a mark behind them another
-                pieces.append(core.lower().decode())
-                if mark:
-                    pieces.append(mark.decode())
-                plain.append(word)
-                spans.append(len(pieces))
-                continue
-            w = word.decode()
-            if self._PLAIN.fullmatch(w) and "<|" not in w:
-                cut = self._PIECES.findall(w.lower())
-                if not w.isascii():
-                    cut = [p.encode().decode("latin-1").translate(self.alphabet) for p in cut]
-                pieces += cut
-                plain.append(word)
-                spans.append(len(pieces))
-            else:
-                rest.append(word)
-        if plain:
-            lines = [" ".join(pieces[i : i + 256]) for i in range(0, len(pieces), 256)]
-            found = self.bare.encode_batch_fast(lines, add_special_tokens=False)
-            ids = np.fromiter((i for e in found for i in e.ids), np.uint32)
-            ends = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
-            if len(ends) == len(pieces) + 1:
-                data = ids.tobytes()
-                at = (4 * ends[np.array(spans)]).tolist()
-                for w, a, b in zip(plain, at[:-1], at[1:], strict=True):
-                    self.words[w] = data[a:b]
-            else:
-                rest += plain
-        if rest:
-            texts = [w.decode() for w in rest]
-            found = self.full.encode_batch_fast(texts, add_special_tokens=False)
-            for w, e in zip(rest, found, strict=True):
-                self.words[w] = np.array(e.ids, np.uint32).tobytes()
+        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        moved = [b for b in range(256) if b not in kept]
+        self.alphabet = np.arange(256, dtype="<u4")
+        self.alphabet[moved] = np.arange(256, 256 + len(moved))
+        self.alphabet[0x20] = 0x20  # the space between two pieces of a line
+        self.known = pa.array([], pa.large_string())
+        self.known_ids = pa.array([], _IDS)
+
+    def _is_plain(self, words: pa.Array) -> pa.Array:
+        plain = pc.match_substring_regex(words, self._PLAIN)
+        return pc.and_not(plain, pc.match_substring(words, "<|"))
+
+    def _lines(self, pieces: pa.Array, size: int) -> list[np.ndarray]:
+        """The model's ids of the pieces, ``size`` of them a line."""
+        bounds = np.append(np.arange(0, len(pieces), size), len(pieces))
+        some = pa.LargeListArray.from_arrays(pa.array(bounds), pieces)
+        lines = pc.binary_join(some, pa.scalar(" ", pieces.type))
+        octets = (np.frombuffer(line.as_buffer(), np.uint8) for line in lines)
+        texts = [self.alphabet[x].tobytes().decode("utf-32-le") for x in octets]
+        return _encoded(self.bare, texts, max(1, TOKENIZED // size))
+
+    def _by_model(self, pieces: pa.Array) -> pa.Array:
+        if not len(pieces):
+            return pa.array([], _IDS)
+        ids = np.concatenate(self._lines(pieces, self._LINE))
+        ends = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(pieces) + 1:  # some piece has no token that ends it
+            return _lists(self._lines(pieces, 1))
+        return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids))
+
+    def _by_tokenizer(self, words: pa.Array) -> pa.Array:
+        return _lists(_encoded(self.full, words.to_pylist(), TOKENIZED))
+
+    def _look_up(self, pieces: pa.Array) -> pa.Array:
+        """The ids of different pieces, and of words that are not cut, in their order."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1)
+        at = at.to_numpy().astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = pieces.take(pa.array(missing))
+            plain = self._is_plain(new).to_numpy(zero_copy_only=False)
+            missing = np.append(missing[plain], missing[~plain])
+            parts, rest = new.filter(pa.array(plain)), new.filter(pa.array(~plain))
+            at[missing] = len(self.known) + np.arange(len(missing))
+            ids = [self._by_model(parts), self._by_tokenizer(rest)]
+            known = pa.concat_arrays([self.known, parts, rest])
+            self.known, self.known_ids = known, pa.concat_arrays([self.known_ids, *ids])
+        found = self.known_ids.take(pa.array(at))
+        if self.known.nbytes + self.known_ids.nbytes > CACHED_BYTES:
+            self.known, self.known_ids = pieces, found
+        return found
+
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an Arrow column; a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.ascii_split_whitespace(texts)
+        words = split.values.dictionary_encode()
+        plain = self._is_plain(words.dictionary)
+        cut = pc.replace_substring_regex(pc.utf8_lower(words.dictionary), self._PIECES, r"\0 ")
+        cut = pc.if_else(plain, pc.ascii_rtrim(cut, " "), words.dictionary)
+        cut = pc.split_pattern(cut, " ")
+        pieces = cut.values.dictionary_encode()
+        by_piece = self._look_up(pieces.dictionary).take(pieces.indices)
+        spans = by_piece.offsets.to_numpy()[cut.offsets.to_numpy()]
+        by_word = pa.LargeListArray.from_arrays(pa.array(spans), by_piece.values)
+        by_word = by_word.take(words.indices)
+        ids = by_word.values.to_numpy()
+        ends = by_word.offsets.to_numpy()[split.offsets.to_numpy()].tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        split = [words_of(t) for t in texts]
-        missing = {w for words in split for w in words if w not in self.words}
-        if missing:
-            self._learn(list(missing))
-        look = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(look, words)), np.uint32) for words in split]
+        octets = [t.encode("utf-8", "replace") for t in texts]
+        return self.encode_column(pa.array(octets, pa.large_string()))
+
+
+def _encoded(tokenizer, texts: list[str], most: int) -> list[np.ndarray]:
+    """The ids of each text, ``most`` at a time: what a tokenizer returns is many times as large."""
+    return [
+        np.array(e.ids, np.uint32)
+        for i in range(0, len(texts), most)
+        for e in tokenizer.encode_batch_fast(texts[i : i + most], add_special_tokens=False)
+    ]
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    if not found:
+        return pa.array([], _IDS)
+    bounds = np.append(0, np.cumsum([len(ids) for ids in found], dtype=np.int64))
+    return pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
-    """The encoder of this worker; its words survive from task to task."""
+    """The encoder of this worker; its pieces survive from task to task."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about GROUP_BYTES of text, joined or cut."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+        ends = np.cumsum(np.append(0, sizes.astype(np.int64) + ROW_BYTES))
+        at = 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(ends, ends[at] + GROUP_BYTES - size, "right")) - 1
+            to = max(fits, at if held else at + 1)
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(ends[to] - ends[at])
+                at = to
+            if at < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _chunk_writer(tokenizer: str, unit: str, end_id: int, kind: pa.DataType):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
@@ -194,18 +258,16 @@ def _chunk_writer(tokenizer: str, unit: str, end_id: int, kind: pa.DataType):
             arrays.append(pa.array([encode_chunk(ids, unit)], pa.binary()))
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                texts = [t or "" for t in some.column("text").to_pylist()]
-                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                    docs.append(doc)
-                    parts.append(np.append(ids, np.uint32(end_id)).astype(np.uint32))
-                    held += len(parts[-1])
-                    if held >= IDS_PER_CHUNK or len(docs) >= DOCS_PER_CHUNK:
-                        yield row()
-                        number, start, held = number + 1, start + held, 0
-                        docs, parts = [], []
+        for some in _groups(batches):
+            encoded = encoder.encode_column(some.column("text"))
+            for doc, ids in zip(some.column("doc_id").to_pylist(), encoded, strict=True):
+                docs.append(doc)
+                parts.append(np.append(ids, np.uint32(end_id)).astype(np.uint32))
+                held += len(parts[-1])
+                if held >= IDS_PER_CHUNK or len(docs) >= DOCS_PER_CHUNK:
+                    yield row()
+                    number, start, held = number + 1, start + held, 0
+                    docs, parts = [], []
         if docs:
             yield row()
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,6 +49,75 @@ def test_any_text_encodes_as_a_whole(text):
     assert list(op.word_encoder(PATH).encode([text])[0]) == want_ids(full, text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x17F), max_size=60))
+def test_latin_text_encodes_as_a_whole(text):
+    full = Tokenizer.from_file(PATH) if not hasattr(want_ids, "f") else want_ids.f
+    want_ids.f = full
+    assert list(op.word_encoder(PATH).encode([text])[0]) == want_ids(full, text)
+
+
+class Listening:
+    """A tokenizer that notes the pieces it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.seen = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += [piece for text in texts for piece in text.split()]
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_each_piece_is_encoded_once(full):
+    encoder = op.WordEncoder(PATH)
+    encoder.bare, encoder.full = Listening(encoder.bare), Listening(encoder.full)
+    texts = ["Word word. WORD!! 'word',", "ÉTÉ été... 日本 日本", "word? Été! 7 77 日本"]
+    for some in (texts[:2], texts, texts[2:]):
+        for text, ids in zip(some, encoder.encode(some), strict=True):
+            assert list(ids) == want_ids(full, text)
+    assert "word" in encoder.bare.seen and encoder.full.seen == ["日本"]
+    assert len(encoder.bare.seen) == len(set(encoder.bare.seen))
+
+
+@pytest.mark.parametrize("most", [0, 60, 1 << 20])
+def test_forgotten_pieces_change_nothing(full, monkeypatch, most):
+    monkeypatch.setattr(op, "CACHED_BYTES", most)
+    encoder = op.WordEncoder(PATH)
+    texts = [t or "" for t in ODD]
+    for some in ([], texts[:4], texts, texts[3:7], texts[::-1]):
+        for text, ids in zip(some, encoder.encode(some), strict=True):
+            assert list(ids) == want_ids(full, text)
+
+
+def test_pieces_that_no_token_ends(full):
+    encoder = op.WordEncoder(PATH)
+    encoder.ends[:] = False
+    for text, ids in zip(ODD[3:], encoder.encode(ODD[3:]), strict=True):
+        assert list(ids) == want_ids(full, text)
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_columns_with_an_offset_and_nulls(full, kind):
+    column = pa.array([*ODD, None, "last one"], kind).slice(3)
+    got = op.WordEncoder(PATH).encode_column(column)
+    for text, ids in zip(column.to_pylist(), got, strict=True):
+        assert list(ids) == want_ids(full, text)
+
+
+def test_groups_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(op, "GROUP_BYTES", 1000)
+    texts = ["x" * n for n in (10, 900, 30, 5000, 0, 1, 936, 937)] + [None] * 40
+    rows = pa.record_batch([pa.array(range(48)), pa.array(texts, pa.string())], ["doc_id", "text"])
+    for size in (1, 3, 48):
+        batches = [rows.slice(i, size) for i in range(0, 48, size)]
+        groups = list(op._groups(iter([rows.slice(0, 0), *batches])))
+        assert [r for g in groups for r in g.to_pylist()] == rows.to_pylist()
+        for g in groups:
+            held = sum(len(t or "") + op.ROW_BYTES for t in g.column("text").to_pylist())
+            assert g.num_rows == 1 or held <= 1000
+        assert len(groups) < 12
+
+
 @pytest.mark.parametrize("unit", ["byte", "bit"])
 @pytest.mark.parametrize("n", [0, 1, 7, 4096, 4097, 20_000])
 def test_chunk_round_trip(unit, n):
