@@ -241,6 +241,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
+def _give_back() -> None:
+    """Frees what Arrow keeps of a task's columns; the worker would hold it while it serves other queries."""
+    pa.default_memory_pool().release_unused()
+
+
 def _chunk_writer(tokenizer: str, unit: str, end_id: int, kind: pa.DataType):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
@@ -270,6 +275,8 @@ def _chunk_writer(tokenizer: str, unit: str, end_id: int, kind: pa.DataType):
                     docs, parts = [], []
         if docs:
             yield row()
+        some = encoded = ids = None  # the last group's columns
+        _give_back()
 
     return write
 
@@ -355,6 +362,7 @@ def read_token_ids(spark: SparkSession, path: str, digest: bool = False) -> Data
                     [docs.values, starts, pa.array(lengths, pa.int64()), out],
                     ["doc_id", "start", "n_tokens", value.split()[0]],
                 )
+        _give_back()
 
     # One row for each chunk and three numbers in it: the payloads are not shuffled.
     located = chunks.select("part", "chunk", "doc_ids", "lengths", "payload")

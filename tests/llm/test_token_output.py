@@ -1,4 +1,7 @@
+import os
 import zlib
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -154,6 +157,23 @@ def test_documents_come_back_in_order(spark, tmp_path, full, unit):
     assert sum(r["n_ids"] for r in index) == at and sum(r["n_docs"] for r in index) == len(data)
 
 
+def resident_mb():
+    return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGESIZE") >> 20
+
+
+def test_a_worker_gives_back_what_a_task_took(monkeypatch):
+    monkeypatch.setattr(op, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"])
+    texts = [" ".join(rng.choice(vocabulary, (700, 3)).astype(object).sum(axis=1)) for _ in range(1000)]
+    rows = pa.record_batch([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])
+    written = [b.to_pylist() for b in op._chunk_writer(PATH, "byte", 2, pa.int64())(iter([rows]))]
+    assert [i for chunk in written for r in chunk for i in r["doc_ids"]] == list(range(1000))
+    before = resident_mb()
+    pa.default_memory_pool().release_unused()
+    assert before - resident_mb() < 20
+
+
 def test_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     op.write_token_ids(docs, str(tmp_path / "none"), PATH)
